@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import simhash
+from . import bpe, secrets, simhash
 from .common import read
 
 
@@ -14,8 +14,18 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = bpe.encode(read(spark, sf_dir, "documents"))
+    return out.select(F.col("id").alias("doc_id"), "n_tokens", "ids_sha256", "decoded_sha256")
+
+
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = secrets.find_secrets(read(spark, sf_dir, "documents"))
+    return out.select(F.col("id").alias("doc_id"), "n_assign", "n_access", "n_hex", "base_sha256", "spans")
+
+
 def queries() -> dict:
-    return {"op9_simhash": op9_simhash}
+    return {"op5_bpe": op5_bpe, "op9_simhash": op9_simhash, "op10_secrets": op10_secrets}
 
 
 def oracle_sql() -> dict[str, str]:

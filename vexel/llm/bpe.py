@@ -203,12 +203,12 @@ def _slices(texts: Iterator[bytes | None], chars: int = 2_000_000) -> Iterator[l
     yield held
 
 
-def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
-    """(id, n_tokens, ids, ids_sha256, decoded_sha256): ids as little-endian unsigned 32-bit integers, and digests of the ids
+def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, extra: tuple[str, ...] = ()) -> DataFrame:
+    """(id, extra..., n_tokens, ids, ids_sha256, decoded_sha256): ids as little-endian unsigned 32-bit integers, and digests of the ids
     and of their decoding. One narrow pass: no shuffle, a worker's memory is bounded by ``TEXT_ROWS`` texts and ``KEPT_WORDS`` words.
     """
     text_batches(docs.sparkSession)
-    names = ["id", "n_tokens", "ids", "ids_sha256", "decoded_sha256"]
+    added = ["n_tokens", "ids", "ids_sha256", "decoded_sha256"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = tokenizer(path)
@@ -216,10 +216,11 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
         for b in batches:
             ids = [x for part in _slices(rows_as_bytes(b, "text")) for x in bpe.encode_batch(part)]
             cols = [pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array(map(sha, ids), pa.string()), pa.array((sha(bpe.decode(x).encode()) for x in ids), pa.string())]
-            yield pa.RecordBatch.from_arrays([b.column(0), *cols], names)
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *cols], [*b.schema.names[:-1], *added])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "id long, n_tokens long, ids binary, ids_sha256 string, decoded_sha256 string")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), *extra, F.col(text_col).cast("string").alias("text"))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
+    return rows.mapInArrow(run, f"{schema}, n_tokens long, ids binary, ids_sha256 string, decoded_sha256 string")
 
 
 def decode(rows: DataFrame, id_col: str = "id", ids_col: str = "ids", path: str | None = None) -> DataFrame:

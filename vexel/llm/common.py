@@ -93,14 +93,14 @@ def blocked(keyed: DataFrame, key: str, item: str, block_rows: int) -> DataFrame
 
     A bucket with more than ``block_rows`` rows is dealt into blocks by a hash of ``item`` and every pair of blocks
     becomes a unit, so each pair of rows meets in at least one unit and no unit holds more than about two blocks. Returns the
-    rows with columns ``unit_i`` and ``unit_j``, grouped and sorted by (key, unit_i, unit_j) within partitions.
+    rows with columns ``unit_i``, ``unit_j`` and ``mine`` (the row's own block), grouped and sorted by (key, unit_i, unit_j) within partitions.
     """
     hot = keyed.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block_rows).select(key, F.ceil(F.col("n") / block_rows).cast("int").alias("nb"))
     rows = keyed.join(hot, key, "left")
     mine = F.pmod(F.xxhash64(item), F.col("nb")).cast("int")
     rows = rows.withColumn("mine", F.when(F.col("nb").isNull(), F.lit(0)).otherwise(mine))
     rows = rows.withColumn("other", F.explode(F.when(F.col("nb").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("nb") - 1))))
-    rows = rows.withColumn("unit_i", F.least("mine", "other")).withColumn("unit_j", F.greatest("mine", "other")).drop("mine", "other", "nb")
+    rows = rows.withColumn("unit_i", F.least("mine", "other")).withColumn("unit_j", F.greatest("mine", "other")).drop("other", "nb")
     return rows.repartition(key, "unit_i", "unit_j").sortWithinPartitions(key, "unit_i", "unit_j")
 
 

@@ -4,7 +4,7 @@ A text's characters are lower-cased, runs of non-letters become one gap, and its
 into ``BUCKETS`` counts. Counts become 1 + ln(count), weighted by inverse document frequency and scaled to length one.
 For each language several centroids come from spherical k-means over a bounded sample of labelled rows; the text
 takes the language of the centroid with the greatest cosine. A text whose best cosine lies below ``reject`` (a share of what
-the sample's own rows reach) is too far from all centroids and is marked rejected.
+all but the worst hundredth of the sample's own rows reach) is too far from all centroids and is marked rejected.
 
 Defined results: texts that are null or have no letter are ``und`` with score 0 and rejected. Without any labelled row every
 text is ``und``. Whole texts count, however long. Ties go to the language that comes first in the alphabet. Rows
@@ -102,10 +102,10 @@ def weigh(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
 
 
 def spherical_kmeans(v: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
-    """``k`` unit centroids; starts from the rows farthest from those taken so far."""
-    c = v[:1]
-    while len(c) < min(k, len(v)):
-        c = np.vstack((c, v[(v @ c.T).max(1).argmin()]))
+    """``k`` unit centroids; starts from the means of ``k`` slices of the rows, so that a stray row founds no cluster."""
+    k = min(k, len(v))
+    c = np.array([v[i::k].sum(0) for i in range(k)])
+    c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12)
     for _ in range(rounds):
         near = (v @ c.T).argmax(1)
         sums = np.array([v[near == i].sum(0) if (near == i).any() else c[i] for i in range(len(c))])
@@ -158,7 +158,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         v = weigh(np.array([np.frombuffer(x, np.int32) for x in pdf["counts"]]), idf)
         c = spherical_kmeans(v, CENTROIDS)
         best = (v @ c.T).max(1)
-        return pd.DataFrame({"lang": pdf["lang"].iloc[0], "c": [x.tobytes() for x in c], "least": float(best.min())})
+        return pd.DataFrame({"lang": pdf["lang"].iloc[0], "c": [x.tobytes() for x in c], "least": float(np.quantile(best, 0.01))})
 
     found = sorted(counts.groupBy("lang").applyInPandas(cluster, "lang string, c binary, least double").collect(), key=lambda r: (r.lang, r.c))
     if not found:

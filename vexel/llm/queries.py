@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, pii, secrets, simhash, token_counts, urls
+from . import bpe, decontam, embeddings, langid, pii, secrets, simhash, token_counts, urls
 from .common import read, shared_dir, write_table
 
 
@@ -24,6 +24,12 @@ def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "held_out", "lang_pred", "score", "rejected")
 
 
+def op2_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The leaks: one row for each document and benchmark item in it."""
+    out = decontam.find_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return out.withColumnRenamed("id", "doc_id")
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = pii.find_pii(read(spark, sf_dir, "documents"))
     base = [k.name for k in pii.KINDS if k.base]
@@ -46,6 +52,12 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "n_assign", "n_access", "n_hex", "base_sha256", "spans")
 
 
+def op6_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = embeddings.near_duplicates(read(spark, sf_dir, "embeddings"))
+    kept = F.coalesce(F.col("id") == F.col("component_id"), F.lit(False))
+    return out.select(F.col("id").alias("vec_id"), "n_links", "component_id", kept.alias("kept"))
+
+
 def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(read(spark, sf_dir, "pages")).select(F.col("id").alias("page_id"), "host", "path", "rule", "verdict")
 
@@ -84,11 +96,20 @@ SELECT source, lang, 'bytes-1', count(*), CAST(sum(coalesce(bytes, 0)) AS BIGINT
 """
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict:
     return {
+        "pipeline": pipeline,
         "op1_langid": op1_langid,
+        "op2_decontam": op2_decontam,
         "op4_pii": op4_pii,
         "op5_bpe": op5_bpe,
+        "op6_embeddings": op6_embeddings,
         "op7_urls": op7_urls,
         "op8_token_counts": op8_token_counts,
         "op9_simhash": op9_simhash,

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, embeddings, langid, pii, secrets, simhash, token_counts, urls
+from . import bpe, decontam, embeddings, langid, pii, secrets, simhash, substrings, token_counts, urls
 from .common import read, shared_dir, write_table
 
 
@@ -30,6 +30,10 @@ def op2_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumnRenamed("id", "doc_id")
 
 
+def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(read(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = pii.find_pii(read(spark, sf_dir, "documents"))
     base = [k.name for k in pii.KINDS if k.base]
@@ -107,6 +111,7 @@ def queries() -> dict:
         "pipeline": pipeline,
         "op1_langid": op1_langid,
         "op2_decontam": op2_decontam,
+        "op3_substrings": op3_substrings,
         "op4_pii": op4_pii,
         "op5_bpe": op5_bpe,
         "op6_embeddings": op6_embeddings,

@@ -109,6 +109,10 @@ def date_column(value: Column) -> Column:
     return (F.year(value) * 10_000 + F.month(value) * 100 + F.dayofmonth(value)).cast("long")
 
 
+def _any_between(values: Column, lo: int, hi: int) -> Column:
+    return F.exists(values, lambda x: x.between(lo, hi))
+
+
 OPERATORS = ("range", "re", "exists")
 
 
@@ -126,7 +130,7 @@ def where(conditions: Mapping[str, Any] | None, values_of=None, specs: FloatSpec
                 continue
             if cond[0] == "range":
                 lo, hi = sorted((as_int(field, cond[1], specs), as_int(field, cond[2], specs)))
-                terms.append(F.exists(F.coalesce(F.col(nums)[field], F.array().cast("array<bigint>")), lambda x, lo=lo, hi=hi: x.between(lo, hi)))
+                terms.append(_any_between(F.coalesce(F.col(nums)[field], F.array().cast("array<bigint>")), lo, hi))
                 continue
             if values_of is None:
                 raise ValueError("an expression needs the field's values")

@@ -81,3 +81,5 @@ def test_stage_keeps_one_of_each_group(spark):
     texts = base + near + base[:5] + ["", None, " "]
     kept = {x.doc_id for x in simhash.keep_first(frame(spark, texts)).collect()}
     assert kept == set(range(20)) | {45, 46, 47}
+    rows = simhash.keep_first(frame(spark, [base[0], base[0], base[1], base[1], None], ids=[None, None, 8, 8, None])).collect()
+    assert sorted(str(x.doc_id) for x in rows) == ["8", "None", "None", "None"]

@@ -43,7 +43,8 @@ def corpus():
     return texts + ["", None, " \n\t", texts[3], texts[3], "a b   c", "z " * 30_000, "z " * 40]
 
 
-def test_matches_brute_force(spark, tmp_path):
+def test_matches_brute_force(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(s, "UNIT_BYTES", 1500)  # some sources get several units
     texts = corpus()
     ids = [i * 3 for i in range(len(texts))]
     random.Random(1).shuffle(ids)

@@ -39,6 +39,8 @@ K = 13
 PACK_CHARS = 3_000_000
 #: Edges of a hash bucket, about; a bucket is grouped in one task.
 BUCKET_EDGES = 500_000
+#: Bytes of paths that one copy of a source pack verifies, or as many as the pack has, if that is more.
+UNIT_BYTES = 500_000
 
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -290,8 +292,13 @@ def spans(packs: DataFrame, found: DataFrame) -> DataFrame:
         cols = list(zip(*out)) if out else [[]] * 5
         return pa.table([pa.array(c, pa.int64()) for c in cols], ["pack", "at", "n", "src_id", "src_at"])
 
-    schema = "pack long, at long, n long, src_id long, src_at long"
-    return packs.groupBy("pack").cogroup(found.withColumnRenamed("pack", "into").groupBy("source")).applyInArrow(lambda k, a, b: run(k, a, b.rename_columns(["pack" if c == "into" else c for c in b.column_names])), schema)
+    # A source that many paths ask for (the first of a large group of copies) is copied for each unit of its paths.
+    size = packs.select(F.col("pack").alias("source"), F.octet_length("body").alias("size"))
+    asks = found.groupBy("source").agg(F.sum(F.octet_length("words")).alias("asked"))
+    hot = asks.join(size, "source").select("source", F.ceil(F.col("asked") / F.greatest(F.col("size"), F.lit(UNIT_BYTES))).cast("int").alias("units")).where("units > 1")
+    left = packs.join(hot.withColumnRenamed("source", "pack"), "pack", "left").withColumn("unit", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("units") - 1, F.lit(0))))).drop("units")
+    right = found.join(hot, "source", "left").withColumn("unit", F.pmod(F.xxhash64("pack", "at"), F.coalesce("units", F.lit(1))).cast("int")).drop("units")
+    return left.groupBy("pack", "unit").cogroup(right.groupBy("source", "unit")).applyInArrow(run, "pack long, at long, n long, src_id long, src_at long")
 
 
 def own_spans(p: Pack) -> list[tuple[int, int, int]]:

@@ -100,6 +100,9 @@ def test_frozen_index_live_tier_and_splits(spark, tmp_path):
     x, q = normals(400, 16, 3), normals(4, 16, 4)
     Q = frame(spark, q)
     c = Collection.build_index(spark, str(tmp_path / "c"), frame(spark, x[:300], ("id", "v")), k=8, m=2, eps=9.0)
+    near = Collection.build_index(spark, str(tmp_path / "h"), frame(spark, x[:300], ("id", "v")), k=8, m=2, eps=9.0, coarse=4, neighbours=8)
+    tables = [sorted(map(tuple, spark.read.parquet(t.m["index"]["assigned"]).select("id", "slot", "cell").collect())) for t in (c, near)]
+    assert tables[0] == tables[1]  # all cells are neighbours: the same assignment
     assert c.insert_batch(x[300:]) == list(range(300, 400))
     y = x.copy()
     y[7] = x[399] + 0.01
@@ -111,6 +114,9 @@ def test_frozen_index_live_tier_and_splits(spark, tmp_path):
         full = SearchParams(8, 400)
         want = brute(y, q, 10, alive)
         assert found(c.search(Q, 10, params=full)) == want
+        c.build_residual()
+        assert found(c.search(Q, 10, params=full)) == want  # exhaustive budgets: codes change nothing
+        assert found(c.search(Q, 10, params=SearchParams(8, 60))) == want  # 4-bit codes: a rerank of 60 still holds the best ten
         stats = c.pack()
         assert stats["largest_cell"] <= c.cell_capacity and stats["entries"] == 2 * 100
         assert found(c.search(Q, 10, params=SearchParams(1000, 400))) == want
@@ -129,6 +135,31 @@ def test_frozen_index_live_tier_and_splits(spark, tmp_path):
         SearchParams.from_profile(C.Profile("x", {"nprobe": 1, "rerank": 1}, "validated", [], True), c.fingerprint())
 
 
+def test_residual_kernels_agree_with_the_columns(spark):
+    from vexel.functions import codes as K
+    from vexel.functions import vectors as V
+    from vexel.operators import ivf, residual
+
+    x = normals(120, 64, 9)
+    df, Q = frame(spark, x, ("id", "v")), frame(spark, x[:5])
+    cells = ivf.cells(df, ivf.anchor_ids(120, 4, 52))
+    assigned = ivf.assign(df, cells, 2)
+    codes = residual.encode(assigned, df, cells, 52, 64)
+    got = {(r.cell, r.id): r for r in codes.collect()}
+    u = V.with_rotated(df.select("id", V.unit(F.col("v")).alias("v")), "v", "r", 52)
+    a = V.with_rotated(cells.select("cell", V.unit(V.doubles("q8")).alias("a")), "a", "ar", 52)
+    want = assigned.join(u, "id").join(a, "cell").select("cell", "id", "a", "ar", K.residual_encode(F.col("v"), F.col("r"), F.col("a"), F.col("ar"), 64).alias("e"))
+    for r in want.collect():
+        g = got[r.cell, r.id]
+        assert abs(g.beta - r.e.beta) < 1e-12 and abs(g.gain - r.e.gain) < 1e-9 and list(g.code) == r.e.code
+    probes = ivf.route(Q, cells, 3)
+    q = u.where("id < 5").select(F.col("id").alias("qid"), F.col("v").alias("q"), F.col("r").alias("rq"))
+    s = V.let(K.residual_query(F.col("q"), F.col("rq"), F.col("a"), F.col("ar"), 64), lambda y: K.residual_score(F.col("e.code"), F.col("e.beta"), F.col("e.gain"), y, 4))
+    slow = ivf.candidates_by_code(ivf.probe(probes, want).join(q, "qid").select("qid", "id", F.round(s, 9).alias("score")), 20, 2)
+    fast = residual.candidates(probes, codes, Q, cells, 52, 64, 20, 2)
+    assert {(r.qid, r.id, round(r.score, 7)) for r in slow.collect()} == {(r.qid, r.id, round(r.score, 7)) for r in fast.collect()}
+
+
 def test_capacity_and_limits(spark, tmp_path):
     for kw in ({"dim": 0}, {"dim": 2000}, {"dim": 8, "cell_capacity": 3}, {"dim": 8, "max_cells": 1}):
         with pytest.raises(ValueError):

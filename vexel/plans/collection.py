@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from ..functions import metadata as M
 from ..functions import vectors as V
-from ..operators import ivf, split, topk
+from ..operators import ivf, residual, split, topk
 from .store import Manifests, settle
 
 STATE = "id long, v array<double>, meta map<string,array<string>>, nums map<string,array<bigint>>, deleted boolean"
@@ -97,8 +97,9 @@ class Collection:
         return cls(spark, path, float_specs=float_specs)
 
     @classmethod
-    def build_index(cls, spark: SparkSession, path: str, vectors: DataFrame, k: int, eps: float = 0.2, m: int = 3, seed: int = 42, nmax: int = 0, float_specs: M.FloatSpecs | None = None) -> Collection:
-        """A frozen index of ``vectors`` (id dense from 0, v) with ``k`` cells and up to ``m`` spilled assignments."""
+    def build_index(cls, spark: SparkSession, path: str, vectors: DataFrame, k: int, eps: float = 0.2, m: int = 3, seed: int = 42, nmax: int = 0, coarse: int = 0, neighbours: int = 64, float_specs: M.FloatSpecs | None = None) -> Collection:
+        """A frozen index of ``vectors`` (id dense from 0, v) with ``k`` cells and up to ``m`` spilled assignments. With ``coarse`` cells a
+        vector is first assigned to these, and only the ``neighbours`` cells near its coarse ones are scored."""
         rows = vectors.select(F.col("id").cast("long").alias("id"), V.doubles("v").alias("v"))
         if nmax:
             rows = rows.where(F.col("id") < nmax)
@@ -111,7 +112,13 @@ class Collection:
         frozen = self._save(rows.select("id", V.unit(F.col("v")).alias("v")), "frozen", "id")
         vec = spark.read.parquet(frozen)
         cells = self._save(ivf.cells(vec, ivf.anchor_ids(size.n, k, seed)), "cells")
-        assigned = self._save(ivf.spill(ivf.assign(vec, spark.read.parquet(cells), m), eps), "assigned", "cell")
+        new = spark.read.parquet(cells)
+        if coarse:
+            old = ivf.cells(vec, ivf.anchor_ids(size.n, coarse, seed))
+            rough = ivf.assign_through(vec, ivf.assign(vec, old, m), ivf.neighbours(old, new, neighbours), new, m)
+        else:
+            rough = ivf.assign(vec, new, m)
+        assigned = self._save(ivf.spill(rough, eps), "assigned", "cell")
         self._publish(frozen=frozen, base_n=size.n, count=size.n, index={"cells": cells, "assigned": assigned, "k": k, "m": m, "eps": eps, "seed": seed})
         return self
 
@@ -119,6 +126,15 @@ class Collection:
     def open(cls, spark: SparkSession, path: str, version: int | None = None, float_specs: M.FloatSpecs | None = None) -> Collection:
         return cls(spark, path, version, float_specs)
 
+    def build_residual(self) -> None:
+        """Residual codes of the frozen assignments: searches then cap candidates by code before the exact rerank."""
+        index = self.m["index"]
+        if not index:
+            raise ValueError("there is no frozen index")
+        cells, assigned = (self.spark.read.parquet(index[t]) for t in ("cells", "assigned"))
+        codes = residual.encode(assigned, self.spark.read.parquet(self.m["frozen"]), cells, index["seed"], V.padded_dim(self.m["dim"]))
+        self._publish(index={**index, "codes": self._save(codes, "codes", "cell")})
+
     def _save(self, df: DataFrame, name: str, by: str | None = None) -> str:
         path = self.manifests.table(name)
         if by:  # row groups get narrow ranges of ``by``, which scans prune on
@@ -318,7 +334,12 @@ class Collection:
             frozen = eligible.where(F.col("id") < self.m["base_n"]).join(moved, "id", "left_anti")
             entries = assigned.select("id", "cell").join(frozen.select("id"), "id", "left_semi")
             probes = self._probes(queries, cells, assigned, p, bool(where) or allowed is not None)
-            tiers.append(ivf.rerank(ivf.probe(probes, entries), frozen, queries, p.rerank))
+            if self.m["index"].get("codes"):  # filtered before the cap
+                codes = self.spark.read.parquet(self.m["index"]["codes"]).join(frozen.select("id"), "id", "left_semi")
+                hit = residual.candidates(probes, codes, queries, cells, self.m["index"]["seed"], V.padded_dim(self.m["dim"]), p.rerank, self.m["index"]["m"])
+            else:
+                hit = ivf.probe(probes, entries)
+            tiers.append(ivf.rerank(hit, frozen, queries, p.rerank))
             rest = eligible.join(frozen.select("id"), "id", "left_anti")
         else:
             rest = eligible
@@ -393,12 +414,15 @@ class Collection:
             return 0
         base = self._save(self.state(), "base", "id")
         ledger = self._save(self._ledger(), "ledger")
+        had_codes = bool((self.m["index"] or {}).get("codes"))
         index, live = self.m["index"], settle(self._live(), "live").where(F.col("id") < self.m["base_n"])
         if index:  # replaced frozen vectors move to the cells of their new place
             old, cells = self.spark.read.parquet(index["assigned"]), self.spark.read.parquet(index["cells"])
             new = ivf.spill(ivf.assign(live, cells, index["m"]), index["eps"])
-            index = {**index, "assigned": self._save(old.join(live.select("id"), "id", "left_anti").unionByName(new), "assigned", "cell")}
+            index = {**index, "codes": None, "assigned": self._save(old.join(live.select("id"), "id", "left_anti").unionByName(new), "assigned", "cell")}
         self._publish(base=base, logs=[], ledger=ledger, entries=None, centres=[], packed_seq=self.m["seq"], index=index)
+        if index and self.m["index"].get("codes") is None and had_codes:
+            self._publish(index={**self.m["index"], "codes": self._save(residual.encode(self.spark.read.parquet(index["assigned"]), self.state().where(F.col("id") < self.m["base_n"]), self.spark.read.parquet(index["cells"]), index["seed"], V.padded_dim(self.m["dim"])), "codes", "cell")})
         return rows
 
     def snapshot(self) -> int:
@@ -407,7 +431,7 @@ class Collection:
 
     def tables(self) -> list[str]:
         i = self.m["index"] or {}
-        return [p for p in (self.m["frozen"], self.m["base"], self.m.get("ledger"), self.m["entries"], i.get("cells"), i.get("assigned"), *self.m["logs"]) if p]
+        return [p for p in (self.m["frozen"], self.m["base"], self.m.get("ledger"), self.m["entries"], i.get("cells"), i.get("assigned"), i.get("codes"), *self.m["logs"]) if p]
 
 
 def exact_params(p: SearchParams, n: int) -> SearchParams:

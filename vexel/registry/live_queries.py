@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from ..operators import ivf, live, split, topk
+from ..plans.store import settle
 from . import workload as W
 
 
@@ -54,7 +55,7 @@ def live_add_bulk(spark, d):
 def _tiers(spark, d):
     """(frozen, live): frozen vectors that are neither overridden nor deleted; live ones by their newest vector."""
     s, v = _folded(spark, d), W.vectors(spark, d)
-    now = live.visible(s)
+    now = settle(live.visible(s), "visible")  # both tiers and all searches read the fold once
     base = v.where(F.col("id") < v.count() * 4 // 5).select("id")
     same = now.where("id = vsrc").join(base, "id", "left_semi")
     frozen = same.join(v.select("id", "v"), "id").select("id", "v")

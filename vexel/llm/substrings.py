@@ -5,7 +5,7 @@ are the windows of K - 1 words). What repeats across documents is found and remo
 
 1. Documents are range-partitioned by id and laid into *packs* of about ``PACK_CHARS``: rows of compressed text. Packs
    are in id order and never part equal ids, so "occurs in a smaller document" is "in an earlier pack" or can be told inside one.
-2. Each pack sends the sorted set of its edges' hashes, one blob for each hash bucket; a bucket finds for every edge the
+2. Each pack sends the sorted set of its edges' hashes, those of a task's packs in one blob for each hash bucket; a bucket finds for every edge the
    first pack that has it and answers each later pack with that source. An edge in any number of documents of a pack
    is sent once, so no edge is hot: it has at most one entry for each pack.
 3. In each pack, consecutive repeated edges with one source pack compact into paths: one row with the path's words instead
@@ -39,6 +39,8 @@ K = 13
 PACK_CHARS = 3_000_000
 #: Edges of a hash bucket, about; a bucket is grouped in one task.
 BUCKET_EDGES = 500_000
+#: Edges that a task gathers before it sends a blob to each bucket.
+TASK_EDGES = 4_000_000
 #: Bytes of paths that one copy of a source pack verifies, or as many as the pack has, if that is more.
 UNIT_BYTES = 500_000
 
@@ -168,7 +170,7 @@ def pack(docs: DataFrame, chars: int = PACK_CHARS, total: int | None = None) ->
 
 
 def _planes(h: np.ndarray) -> bytes:
-    """Sorted hashes as differences in byte planes: the high planes are zeros, which the shuffle's compression removes."""
+    """Runs of sorted hashes as differences (modulo 2^64) in byte planes: the high planes are zeros, which the shuffle's compression removes."""
     d = np.diff(h, prepend=_U(0))
     return d.view(np.uint8).reshape(-1, 8).T.tobytes()
 
@@ -177,19 +179,35 @@ def _unplanes(x: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(8, -1).T).view(_U).ravel(), dtype=_U)
 
 
-def edge_blobs(packs: DataFrame, bits: int) -> DataFrame:
-    """Step 2, out: (bucket, pack, edges) of the distinct edges of each pack."""
+def edge_blobs(packs: DataFrame, bits: int, task_edges: int = TASK_EDGES) -> DataFrame:
+    """Step 2, out: (bucket, packs, sizes, edges): the distinct edges of a task's packs, pack by pack, in one blob for each bucket."""
+
+    def flush(held: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
+        bounds = np.arange(1, 1 << bits, dtype=_U) << _U(64 - bits) if bits else np.zeros(0, _U)
+        cuts = [np.concatenate(([0], np.searchsorted(h, bounds), [len(h)])) for _, h in held]
+        out = []
+        for k in range(1 << bits):
+            some = [(p, h[c[k] : c[k + 1]]) for (p, h), c in zip(held, cuts) if c[k] < c[k + 1]]
+            if some:
+                out.append((k, np.array([p for p, _ in some], np.int64).tobytes(), np.array([len(h) for _, h in some], np.int64).tobytes(), _planes(np.concatenate([h for _, h in some]))))
+        cols = list(zip(*out))
+        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], ["bucket", "packs", "sizes", "edges"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
         for b in batches:
             for row in b.to_pylist():
                 h = np.unique(_open(row).words.edges()[1])
                 if len(h):
-                    cuts = np.searchsorted(h, np.arange(1, 1 << bits, dtype=_U) << _U(64 - bits)) if bits else np.zeros(0, np.int64)
-                    parts = [(i, _planes(p)) for i, p in enumerate(np.split(h, cuts)) if len(p)]
-                    yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in parts], pa.int32()), pa.array([row["pack"]] * len(parts), pa.int64()), pa.array([p[1] for p in parts], pa.binary())], ["bucket", "pack", "edges"])
+                    held.append((row["pack"], h))
+                    n += len(h)
+                if n >= task_edges:
+                    yield flush(held)
+                    held, n = [], 0
+        if held:
+            yield flush(held)
 
-    return packs.mapInArrow(run, "bucket int, pack long, edges binary")
+    return packs.mapInArrow(run, "bucket int, packs binary, sizes binary, edges binary")
 
 
 def edge_sources(blobs: DataFrame) -> DataFrame:
@@ -197,9 +215,11 @@ def edge_sources(blobs: DataFrame) -> DataFrame:
     pack of each, compressed."""
 
     def run(t: pa.Table) -> pa.Table:
-        order = np.argsort(t.column("pack").to_numpy())
-        packs = t.column("pack").to_numpy()[order]
-        parts = [_unplanes(t.column("edges")[int(i)].as_py()) for i in order]
+        got = []
+        for p, n, e in zip(*(t.column(c).to_pylist() for c in ("packs", "sizes", "edges"))):
+            got += zip(np.frombuffer(p, np.int64).tolist(), np.split(_unplanes(e), np.cumsum(np.frombuffer(n, np.int64))[:-1]))
+        got.sort(key=lambda x: x[0])
+        packs, parts = np.array([p for p, _ in got], np.int64), [h for _, h in got]
         sizes = [len(p) for p in parts]
         h, of = np.concatenate(parts), np.repeat(np.arange(len(parts), dtype=np.int32), sizes)
         by = np.argsort(h, kind="stable")  # packs stay in order inside equal edges
@@ -296,6 +316,7 @@ def spans(packs: DataFrame, found: DataFrame) -> DataFrame:
     size = packs.select(F.col("pack").alias("source"), F.octet_length("body").alias("size"))
     asks = found.groupBy("source").agg(F.sum(F.octet_length("words")).alias("asked"))
     hot = asks.join(size, "source").select("source", F.ceil(F.col("asked") / F.greatest(F.col("size"), F.lit(UNIT_BYTES))).cast("int").alias("units")).where("units > 1")
+    hot = write_table(hot, "hot-sources")  # its size is then known: a short table joins without a shuffle by source
     left = packs.join(hot.withColumnRenamed("source", "pack"), "pack", "left").withColumn("unit", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("units") - 1, F.lit(0))))).drop("units")
     right = found.join(hot, "source", "left").withColumn("unit", F.pmod(F.xxhash64("pack", "at"), F.coalesce("units", F.lit(1))).cast("int")).drop("units")
     return left.groupBy("pack", "unit").cogroup(right.groupBy("source", "unit")).applyInArrow(run, "pack long, at long, n long, src_id long, src_at long")

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import xxhash
 
 from tests.llm.helpers import docs_dir, frame
@@ -83,3 +84,61 @@ def test_stage_keeps_one_of_each_group(spark):
     assert kept == set(range(20)) | {45, 46, 47}
     rows = simhash.keep_first(frame(spark, [base[0], base[0], base[1], base[1], None], ids=[None, None, 8, 8, None])).collect()
     assert sorted(str(x.doc_id) for x in rows) == ["8", "None", "None", "None"]
+
+
+def shingles(t):
+    w = t.split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+
+def similar(a, b):
+    return 5 * len(a & b) >= 4 * len(a | b)
+
+
+def test_stage_links_exactly_the_pairs_at_four_fifths(spark):
+    """Pairs close to the bound on both sides, of many sizes: words cut one by one from the end of a text."""
+    r = random.Random(31)
+    texts, sides = [], [0, 0]
+    for k in range(240):
+        t = [f"p{k}x{i}" for i in range(r.choice([8, 9, 12, 20, 60, 300, 1200]))]
+        cut = (len(t) - 4) // 5 + k % 2
+        texts += [" ".join(t), " ".join(t[: len(t) - cut])]
+        same = similar(shingles(texts[-2]), shingles(texts[-1]))
+        sides[same] += 1
+    assert min(sides) > 80
+    out = {x.id: x.component_id for x in simhash.wide_near_duplicates(frame(spark, texts)).collect()}
+    for k in range(0, len(texts), 2):
+        assert (out[k] == out[k + 1]) == similar(shingles(texts[k]), shingles(texts[k + 1])), len(texts[k].split())
+
+
+def test_partition_keys_cover_every_pair_of_the_bound():
+    r = np.random.default_rng(3)
+    for _ in range(4000):
+        n = int(r.integers(4, 400))
+        x = np.unique(r.integers(0, 1 << 64, n, np.uint64))
+        m = int(r.integers(-(-4 * n // 5), n * 5 // 4 + 1))  # size of the other set
+        most = (n + m) // 9
+        both = -(-(n + m - most) // 2)
+        if both > min(n, m):
+            continue
+        y = np.unique(np.concatenate((r.choice(x, both, replace=False), r.integers(0, 1 << 64, m - both, np.uint64))))
+        if len(np.setxor1d(x, y)):
+            assert np.intersect1d(simhash.partition_keys(x), simhash.partition_keys(y)).size, (n, m)
+
+
+def test_groups_of_copies_and_hot_lines(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "HOT_BUCKET", 8)
+    monkeypatch.setattr(simhash, "BLOCK_SETS", 16)
+    r = random.Random(8)
+    line = " ".join(f"c{i}" for i in range(12))
+    base = [f"b{i}" for i in range(60)]
+    texts = [line + " " + " ".join(f"w{r.randrange(10**6)}" for _ in range(r.randint(0, 8))) for _ in range(150)]
+    texts += [" ".join(base[:i] + ["z"] + base[i + 1 :]) for i in range(60)] + texts[:20]
+    out = {x.id: x.component_id for x in simhash.wide_near_duplicates(frame(spark, texts)).collect()}
+    sets, comp = [shingles(t) for t in texts], list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if comp[i] != comp[j] and similar(sets[i], sets[j]):
+                lo, hi = sorted((comp[i], comp[j]))
+                comp = [lo if c == hi else c for c in comp]
+    assert out == dict(enumerate(comp))

@@ -104,8 +104,8 @@ def blocked(keyed: DataFrame, key: str, item: str, block_rows: int) -> DataFrame
     return rows.repartition(key, "unit_i", "unit_j").sortWithinPartitions(key, "unit_i", "unit_j")
 
 
-def sorted_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
-    """Whole groups of rows sorted by integer ``keys``: yields (table, bounds); group g is rows bounds[g]:bounds[g+1]."""
+def sorted_groups(batches: Iterator[pa.RecordBatch], keys: list[str], most: int = 20_000) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Whole groups of rows sorted by integer ``keys``, about ``most`` rows at a time: yields (table, bounds); group g is rows bounds[g]:bounds[g+1]."""
     held: list[pa.RecordBatch] = []
 
     def cut(rows: list[pa.RecordBatch], last: bool) -> tuple[pa.Table | None, np.ndarray | None, list[pa.RecordBatch]]:
@@ -128,7 +128,7 @@ def sorted_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterato
     for b in batches:
         held.append(b)
         n += b.num_rows
-        if n >= 20_000:
+        if n >= most:
             t, bounds, held = cut(held, False)
             n = sum(x.num_rows for x in held) - (0 if t is not None else 0)
             if t is None:

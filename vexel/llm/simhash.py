@@ -1,4 +1,4 @@
-"""SimHash near-duplicates: pigeonhole blocks.
+"""Near-duplicates: SimHash by pigeonhole blocks, and exact Jaccard similarity of shingle sets (``wide_near_duplicates``).
 
 A text is cut into words (runs of anything but ASCII white space, A-Z lower-cased), its word shingles are hashed with XXH64
 (seed 42), and bit i of the fingerprint is set if it is set in over half of the hashes. Fingerprints within ``k`` bits must
@@ -12,6 +12,7 @@ Rows with a null id keep their row with a null component. Extra columns are igno
 
 from __future__ import annotations
 
+import functools
 import itertools
 from collections.abc import Iterator
 
@@ -21,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, drop_table, hamming_links, rows_as_bytes, text_batches, write_table
+from .common import Forest, blocked, components, hamming_links, popcount, rows_as_bytes, sorted_groups, text_batches, write_table
 
 _U = np.uint64
 
@@ -104,32 +105,164 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(by_print, "fp0").select("id", F.col("fp0").alias("fingerprint"), F.when(F.col("id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
-#: Of the wide form: words of 64 bits, bits of a block, and the share of differing bits that is still near. The count vectors of two
-#: sets of one size with Jaccard similarity 0.8 stand at cosine 0.889, 0.152 of half a turn; the share leaves one standard
-#: deviation (0.016 at 512 bits) for chance. Measured on near copies: 0.93 of the pairs at 0.8 or more link, 0.13 of those at 0.70 to 0.75.
-WIDE_WORDS, BLOCK_BITS, WIDE_SHARE = 8, 16, 0.165
+#: Rows of a bucket above which all are linked to one, unfiltered: links are candidates only, so none is lost.
+HOT_BUCKET = 2048
+#: Sets of a block when the pairs of a group of candidates are compared.
+BLOCK_SETS = 256
 
 
-def wide_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, share: float = WIDE_SHARE) -> DataFrame:
-    """(id, component_id) for similarity 0.8 or more on five-word shingles.
+@functools.cache
+def size_classes(most: int) -> np.ndarray:
+    """Last sizes of classes that grow by a quarter: sets of Jaccard similarity 0.8 lie in one class or in two that follow each other."""
+    ends = [0]
+    while ends[-1] < most:
+        ends.append((ends[-1] + 1) * 5 // 4)
+    return np.array(ends)
 
-    64 bits are too few to tell 0.8 from chance, so this form takes 512 bits in 32 blocks, and verifies that at most ``share`` of
-    all bits differ.
+
+def differing(a: int | np.ndarray, b: int | np.ndarray) -> int | np.ndarray:
+    """The most elements in which sets of ``a`` and ``b`` elements differ at Jaccard similarity 0.8 or more."""
+    return (a + b) // 9
+
+
+def partition_keys(h: np.ndarray) -> np.ndarray:
+    """Keys of a set of hashes, of which any two sets at Jaccard similarity 0.8 or more share one.
+
+    The hashes are dealt into parts by value. Sets that differ in at most d elements agree on one of any d + 1 parts, so a set
+    gives the first d + 1 parts that hold anything, or all parts if there are not as many. The number of parts goes with the size class
+    of the smaller set: a set gives keys for its own class and for the one below.
     """
-    cols = [f"fp{i}" for i in range(WIDE_WORDS)]
-    prints = write_table(fingerprints(docs, id_col, text_col, shingle, WIDE_WORDS).withColumn("fp", F.xxhash64(*cols)), "simhash-wide")
-    reps = write_table(prints.groupBy("fp", *cols).agg(F.min("id").alias("least")), "simhash-reps")
+    n, out = len(h), []
+    ends = size_classes(1 << (n + 1).bit_length())
+    own = int(np.searchsorted(ends, n))
+    for c, most in ((own, n * 5 // 4), (own - 1, int(ends[own - 1]))):
+        if c < 1 or n > ends[c] * 5 // 4 or not (d := differing(n, most)):
+            continue  # no partner, or an equal set only
+        parts = int(differing(ends[c], ends[c] * 5 // 4)) * 11 // 10 + 3
+        at = ((h >> _U(32)) * _U(parts) >> _U(32)).astype(np.int64)
+        with np.errstate(over="ignore"):
+            starts = np.flatnonzero(np.diff(at, prepend=-1))  # h is sorted, so parts come in order
+            sums = np.add.reduceat(_mix(h, c + 1), starts)
+            keys = _mix(sums ^ _mix(at[starts].astype(_U), 3), c + 1)
+            if len(keys) <= d:
+                empty = np.setdiff1d(np.arange(parts), at)
+                keys = np.concatenate((keys, _mix(_mix(empty.astype(_U), 5), c + 1)))
+        out.append(keys[: d + 1] if len(starts) > d else keys)
+    return np.concatenate(out) if out else np.zeros(0, _U)
+
+
+def shingle_set(text: bytes | None, shingle: int) -> tuple[np.ndarray, int]:
+    """The sorted distinct hashes of a text and a hash of them all."""
+    h = np.unique(shingle_hashes(text, shingle))
+    return h, xxhash.xxh64_intdigest(h.tobytes(), 42) - (1 << 63)
+
+
+def parity(h: np.ndarray) -> int:
+    """64 bits of which no more differ between two sets than elements do."""
+    return int((np.bincount((h & _U(63)).astype(np.int64), minlength=64) % 2 << np.arange(64)).sum())
+
+
+def shingle_sets(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """(id, fp, n, bits, keys): set hash, size, parity bits and partition keys of each row."""
+    text_batches(docs.sparkSession)
 
-    def keys_of(p: DataFrame) -> DataFrame:
-        parts = [F.shiftrightunsigned(F.col(c), s).bitwiseAND(F.lit((1 << BLOCK_BITS) - 1)) for c in cols for s in range(0, 64, BLOCK_BITS)]
-        return p.withColumn("key", F.explode(F.array(*(x + F.lit(i << BLOCK_BITS) for i, x in enumerate(parts)))))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [shingle_set(t, shingle) for t in rows_as_bytes(b, "text")]
+            keys = [partition_keys(h).view(np.int64) for h, _ in sets]
+            cols = [pa.array([f for _, f in sets], pa.int64()), pa.array([len(h) for h, _ in sets], pa.int32()), pa.array([parity(h) for h, _ in sets], pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([b.column(0), *cols], ["id", "fp", "n", "bits", "keys"])
 
-    links = hamming_links(reps.select(F.col("fp").alias("id"), *cols), keys_of, WIDE_WORDS, int(share * 64 * WIDE_WORDS), 4096)
-    comp = components(links)
-    labelled = reps.join(comp, reps.fp == comp.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("c"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    return rows.mapInArrow(run, "id long, fp long, n int, bits long, keys array<long>")
+
+
+def candidate_links(keyed: DataFrame) -> DataFrame:
+    """Spanning links (a, b) between sets (key, fp, n, bits) that share a key and whose sizes and parity bits allow similarity 0.8."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, bounds in sorted_groups(batches, ["key"]):
+            ids, size = t.column("fp").to_numpy(), t.column("n").to_numpy().astype(np.int64)
+            bits = t.column("bits").to_numpy().view(np.uint64)
+            forest, out = Forest(), []
+            for g in np.flatnonzero(np.diff(bounds) > 1):
+                lo, hi = bounds[g], bounds[g + 1]
+                if hi - lo > HOT_BUCKET:
+                    pairs = [(ids[lo], x) for x in ids[lo + 1 : hi].tolist()]
+                else:
+                    pairs = []
+                    for r in range(lo, hi, 128):
+                        e = min(r + 128, hi)
+                        x, y = size[r:e, None], size[None, r:hi]
+                        ok = (popcount(bits[r:e, None] ^ bits[None, r:hi]) <= differing(x, y)) & (5 * np.minimum(x, y) >= 4 * np.maximum(x, y))
+                        i, j = np.nonzero(np.triu(ok, 1))
+                        pairs += zip(ids[i + r].tolist(), ids[j + r].tolist())
+                out += [(int(x), y) for x, y in pairs if x != y and forest.join(int(x), y)]
+            if out:
+                a, b = zip(*out)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
+
+
+def similar_links(sets: DataFrame) -> DataFrame:
+    """Spanning links (a, b) between the sets (component, fp, hashes) of a component at Jaccard similarity 0.8 or more, by exact comparison."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, bounds in sorted_groups(batches, ["component", "unit_i", "unit_j"], BLOCK_SETS):
+            ids, held = t.column("fp").to_numpy(), t.column("hashes")
+            forest, out = Forest(), []
+            for lo, hi in zip(bounds, bounds[1:]):
+                if hi - lo < 2:
+                    continue
+                rows = [np.frombuffer(held[k].as_py(), _U) for k in range(lo, hi)]
+                n = np.array([len(x) for x in rows])
+                starts = np.concatenate(([0], np.cumsum(n)[:-1]))
+                words, where = np.unique(np.concatenate(rows), return_inverse=True)
+                mark = np.zeros(len(words), bool)
+                for i in range(hi - lo - 1):
+                    mine = where[starts[i] : starts[i] + n[i]]
+                    mark[mine] = True
+                    both = np.add.reduceat(mark[where[starts[i + 1] :]], starts[i + 1 :] - starts[i + 1], dtype=np.int64)
+                    mark[mine] = False
+                    for j in np.flatnonzero(5 * both >= 4 * (n[i] + n[i + 1 :] - both)):
+                        x, y = int(ids[lo + i]), int(ids[lo + i + 1 + j])
+                        if x != y and forest.join(x, y):
+                            out.append((x, y))
+            if out:
+                a, b = zip(*out)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return blocked(sets, "component", "fp", BLOCK_SETS).mapInArrow(run, "a long, b long")
+
+
+def wide_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
+    """(id, component_id): components of texts whose sets of ``shingle``-word shingles have Jaccard similarity 0.8 or more.
+
+    Exact up to collisions of 64-bit hashes: pairs that share a partition key, which all such pairs do, form groups of candidates,
+    inside which all pairs are compared.
+    """
+    prints = write_table(shingle_sets(docs, id_col, text_col, shingle), "shingle-sets")
+    reps = write_table(prints.groupBy("fp").agg(F.min("id").alias("least")), "shingle-reps")
+    first = prints.join(reps.select("fp", F.col("least").alias("id")), ["fp", "id"], "left_semi")
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")  # rows of fixed width
+    comp = components(candidate_links(first.select(F.explode("keys").alias("key"), "fp", "n", "bits")))
+    need = reps.join(comp, reps.fp == comp.node).select(F.col("least").alias("id"), "fp", "component")
+    text_batches(docs.sparkSession)
+
+    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [shingle_set(t, shingle) for t in rows_as_bytes(b, "text")]
+            same = pa.array([f == want for (_, f), want in zip(sets, b.column(0).to_pylist())], pa.bool_())  # ids may repeat
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([h.tobytes() for h, _ in sets], pa.binary())], ["fp", "component", "hashes"]).filter(same)
+
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(need, "id").select("fp", "component", "text")
+    sets = write_table(texts.mapInArrow(hashes, "fp long, component long, hashes binary"), "shingle-hashes")
+    same = components(similar_links(sets))
+    labelled = reps.join(same, reps.fp == same.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("c"))
     named = labelled.groupBy("c").agg(F.min("least").alias("component_id"))
     by_print = labelled.join(named, "c").select("fp", "component_id")
-    return prints.join(by_print, "fp").select("id", "component_id")
+    return prints.select("id", "fp").join(by_print, "fp").select("id", "component_id")
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

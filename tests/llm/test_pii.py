@@ -62,3 +62,11 @@ def test_added_kinds_need_checks_and_context(spark):
     a, b = (pii.find_pii(frame(spark, [x])).first().spans[0].score for x in ("my card 4111111111111111", "no. 4111111111111111"))
     assert a > b
     assert pii.find_pii(frame(spark, [])).count() == 0
+
+
+def test_context_reaches_past_matches_of_the_same_kind(spark):
+    texts = ["Visa card, exp 12/27, 4222222222222", "SSN: 123-45-6789, 234-56-7890", "Visa card " + "x" * 40 + " 12/27, 4222222222222"]
+    got = {r.id: r.spans for r in pii.find_pii(frame(spark, texts)).collect()}
+    assert [(s.kind, s.start) for s in got[0]] == [("short_card", 22)]
+    assert [(s.kind, s.start) for s in got[1]] == [("ssn", 5), ("ssn", 18)]
+    assert got[2] == []

@@ -122,7 +122,7 @@ def kind_spans(text: Column, rank: int, kind: Kind) -> Column:
         span = F.struct(at.alias("start"), F.lit(rank).alias("rank"), F.lit(kind.name).alias("kind"), (at + n).alias("finish"), score.alias("score"))
         match = acc.getField("i") % 2 == 1
         out = F.when(match & ok, F.concat(acc.getField("out"), F.array(span))).otherwise(acc.getField("out"))
-        return F.struct((at + n).alias("at"), F.when(match, F.lit("")).otherwise(F.right(p, F.lit(WINDOW))).alias("before"), (acc.getField("i") + 1).alias("i"), out.alias("out"))
+        return F.struct((at + n).alias("at"), F.right(F.concat(acc.getField("before"), F.right(p, F.lit(WINDOW))), F.lit(WINDOW)).alias("before"), (acc.getField("i") + 1).alias("i"), out.alias("out"))
 
     found = F.aggregate(parts, start, step, lambda acc: acc.getField("out"))
     return F.when(F.size(parts) > 1, found).otherwise(none)

@@ -74,3 +74,11 @@ def test_blocks_of_items_and_the_filter(spark):
     finally:
         d.item_blocks.__defaults__ = old
     assert d.find_leaks(df, bench.limit(0)).count() == 0 and d.find_leaks(frame(spark, []), bench).count() == 0
+
+
+def test_short_items_match_whole_words_only(spark):
+    items = ["What is 2+2?", "水の沸点は何度ですか", "sum of three"]
+    docs = ["so: WHAT is 2 + 2 ... four", "what is 2+25", "問題水の沸点は何度ですか。答え", "Sum of three, sum of three", "dimsum of three", "sum of threes", "sum of thre"]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    assert {tuple(r) for r in d.find_leaks(frame(spark, docs), bench).collect()} == {(0, 0, 0, 1), (2, 1, 0, 1), (3, 2, 0, 2)}
+    assert {r.doc_id for r in d.drop_leaks(frame(spark, docs), bench).collect()} == {1, 4, 5, 6}

@@ -8,8 +8,8 @@ algorithm gives the least edit distance between the whole item and any part of t
 The items go to the executors in blocks of at most ``BLOCK_CHARS`` characters, a proven size bound for each broadcast; with more
 items there are more blocks, each run against all rows.
 
-Defined results: null or blank texts and items match nothing; items shorter than ``MIN_ITEM`` normalised characters are not
-searched (they would hit ordinary prose). Repeated items and documents each give their own rows. Extra columns are ignored by
+Defined results: null or blank texts and items match nothing; items shorter than ``FUZZY`` normalised
+characters match without edits and on word boundaries only (scripts written without spaces have none). Repeated items and documents each give their own rows. Extra columns are ignored by
 ``find_leaks`` and kept by ``drop_leaks``.
 """
 
@@ -27,19 +27,32 @@ from pyspark.sql import functions as F
 from .common import rows_as_bytes, text_batches
 
 RATE = 0.05
-MIN_ITEM = 24
+#: Least normalised characters of an item that is searched, and of one that may differ by edits.
+MIN_ITEM, FUZZY = 1, 24
 BLOCK_CHARS = 4_000_000
 
 _GAPS = re.compile(r"[\W_]+")
+#: Characters of scripts that are written without spaces: Thai, Lao, Burmese, Khmer, kana, Han.
+_UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u2e80-\ua4cf\uf900-\ufaff\U00020000-\U0003ffff]")
 
 
 def normalise(text: str) -> str:
     return _GAPS.sub(" ", text.lower()).strip()
 
 
+def budget(item: str, rate: float) -> int:
+    return int(rate * len(item)) if len(item) >= FUZZY else 0
+
+
+def on_boundaries(text: str, a: int, b: int) -> bool:
+    """Whether text[a:b] begins and ends where words do."""
+    cuts = [(text[i - 1], text[i]) for i in (a, b) if 0 < i < len(text)]
+    return all(" " in (x, y) or _UNSPACED.match(x) or _UNSPACED.match(y) for x, y in cuts)
+
+
 def pieces(item: str, rate: float = RATE) -> list[tuple[int, str]]:
     """(offset, piece): error budget plus one near-equal pieces."""
-    n = int(rate * len(item)) + 1
+    n = budget(item, rate) + 1
     cuts = [i * len(item) // n for i in range(n + 1)]
     return [(a, item[a:b]) for a, b in zip(cuts, cuts[1:])]
 
@@ -76,7 +89,7 @@ def best_match(peq: dict[str, int], m: int, window: str) -> tuple[int, int]:
 
 class Matcher:
     def __init__(self, items: list[tuple[int, str]], rate: float = RATE):
-        self.items = [(i, t, int(rate * len(t)), positions(t)) for i, t in items]
+        self.items = [(i, t, budget(t, rate), positions(t)) for i, t in items]
         self.auto = ahocorasick.Automaton()
         where: dict[str, list[tuple[int, int]]] = {}
         for n, (_, t, _, _) in enumerate(self.items):
@@ -100,6 +113,11 @@ class Matcher:
                 done = seen.get(n)
                 if done is not None and at <= done:
                     continue  # inside a window already verified as a match
+                if len(item) < FUZZY:
+                    if on_boundaries(t, at, end + 1):
+                        found[n] = (0, found.get(n, (0, 0))[1] + 1)
+                        seen[n] = end
+                    continue
                 lo = max(0, at - k)
                 d, stop = best_match(peq, len(item), t[lo : at + len(item) + k])
                 if d <= k:

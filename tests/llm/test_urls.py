@@ -44,3 +44,14 @@ def test_blocks_pass_to_aliases_but_not_past_an_allow(spark):
 
 def test_empty(spark):
     assert urls.judge(pages(spark, [])).count() == 0
+
+
+def test_links_relative_to_the_page_entities_and_all_tags(spark):
+    canonical = lambda u: f'<link rel="canonical" href="{u}">'
+    refresh = lambda u: f'<meta http-equiv="refresh" content="0; url={u}">'
+    base = "http://a.net/fr/d/p"
+    rows = [(base, refresh("next.html") + refresh("?id=2&amp;x=1") + canonical("../x") + canonical("./y/../z") + canonical("//b.org/h") + canonical("/r?u=http://c.org/"))]
+    want = ["http://a.net/fr/d/next.html", "http://a.net/fr/d/p?id=2&x=1", "http://a.net/fr/x", "http://a.net/fr/d/z", "http://b.org/h", "http://a.net/r?u=http://c.org/"]
+    assert {(r.a, r.b) for r in urls.page_links(pages(spark, rows)).collect()} == {(base, w) for w in want}
+    rows += [("http://b.org/h", None), ("http://a.net/r?u=http://c.org/", None), ("http://other.org/", canonical("mailto:x@y") + canonical("http://[bad/"))]
+    assert [r.verdict for r in urls.judge(pages(spark, rows)).orderBy("id").collect()] == ["block", "block", "block", "allow"]

@@ -6,18 +6,24 @@ and the URLs of a connected component are aliases. A component in which a rule b
 aliases, unless a rule allows a URL of the component: an explicit allow has precedence. What stays undecided is allowed.
 
 Defined results: a null URL or one without ``://`` has empty host and path, fits no rule, has no aliases and is allowed. URLs
-that differ only in their fragment are one URL. Pages that repeat an id or a URL keep their rows. Null html has no edges.
+that differ only in their fragment are one URL. Pages that repeat an id or a URL keep their rows. Null html has no edges. Links
+are resolved against the URL of their page (``<base>`` is not read), after HTML entities are decoded.
 """
 
 from __future__ import annotations
 
+import html
+import re
 import string
+import urllib.parse
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, write_table
+from .common import components, text_batches, write_table
 
 
 @dataclass(frozen=True)
@@ -69,28 +75,42 @@ def node_of(url: Column) -> Column:
     return F.when(F.instr(cut, "://") > 0, F.concat(F.lower(scheme), F.lit("://"), host_of(cut), tail))
 
 
-def resolved(link: Column, base: Column) -> Column:
-    """An absolute URL for a link found on page ``base``: absolute, scheme-relative and rooted links."""
-    scheme = F.substring_index(base, "://", 1)
-    return (
-        F.when(F.instr(link, "://") > 0, link)
-        .when(F.startswith(link, F.lit("//")), F.concat(scheme, F.lit(":"), link))
-        .when(F.startswith(link, F.lit("/")), F.concat(scheme, F.lit("://"), host_of(base), link))
-    )
+_CANONICAL = re.compile(r"(?i)<link\b[^>]*\brel\s*=\s*[\"']?canonical[\"' /][^>]*>")
+_REFRESH = re.compile(r"(?i)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh[\"' /][^>]*>")
+_HREF = re.compile(r"(?i)\bhref\s*=\s*[\"']?([^\"'\s>]+)")
+_URL = re.compile(r"(?i)\burl\s*=\s*[\"']?([^\"'\s>]+)")
+_ABSOLUTE = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*:")
 
 
-_CANONICAL = r"(?i)<link\b[^>]*\brel\s*=\s*[\"']?canonical[\"' /][^>]*>"
-_REFRESH = r"(?i)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh[\"' /][^>]*>"
+def resolved(link: str, base: str) -> str | None:
+    """The absolute URL of a link found on page ``base``, entities decoded; null for what cannot be read."""
+    link = html.unescape(link)
+    if _ABSOLUTE.match(link):
+        return link
+    try:
+        return urllib.parse.urljoin(base, link)
+    except ValueError:  # a host in broken brackets
+        return None
+
+
+def declared(url: str, page: str) -> list[str]:
+    """The targets of all canonical and refresh tags of a page."""
+    found = [m for tags, target in ((_CANONICAL, _HREF), (_REFRESH, _URL)) for t in tags.findall(page) if (m := target.search(t))]
+    return [x for m in found if (x := resolved(m[1], url))]
 
 
 def page_links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(a, b): the canonical and redirect edges that pages declare, between URL nodes."""
-    tag = lambda p: F.regexp_extract(F.concat(html_col, F.lit(" ")), p, 0)
-    canonical = F.regexp_extract(tag(_CANONICAL), r"(?i)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1)
-    refresh = F.regexp_extract(tag(_REFRESH), r"(?i)\burl\s*=\s*[\"']?([^\"'\s>]+)", 1)
-    some = pages.where(F.col(html_col).rlike("(?i)canonical|refresh"))
-    links = some.select(F.col(url_col).alias("u"), F.explode(F.array(canonical, refresh)).alias("l"))
-    links = links.select(node_of(F.col("u")).alias("a"), node_of(resolved(F.col("l"), F.col("u"))).alias("b"))
+    """(a, b): the canonical and redirect edges that pages declare, between URL nodes. Only pages with such a word go through Python."""
+    text_batches(pages.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [(u, x) for u, h in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for x in declared(u, h)]
+            yield pa.RecordBatch.from_arrays([pa.array([u for u, _ in out], pa.string()), pa.array([x for _, x in out], pa.string())], ["u", "l"])
+
+    some = pages.where(F.col(html_col).rlike("(?i)canonical|refresh") & F.col(url_col).isNotNull())
+    links = some.select(F.col(url_col).cast("string").alias("u"), F.col(html_col).cast("string").alias("h")).mapInArrow(run, "u string, l string")
+    links = links.select(node_of(F.col("u")).alias("a"), node_of(F.col("l")).alias("b"))
     return links.where("a is not null and b is not null and a <> b")
 
 

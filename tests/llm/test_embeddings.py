@@ -1,4 +1,4 @@
-import random
+from collections import Counter
 
 import numpy as np
 
@@ -9,12 +9,13 @@ SCHEMA = "vec_id long, embedding array<float>, label int, id long, digest string
 
 
 def brute(rows):
-    ok = [(i, np.array(v, np.float32).astype(float), l) for i, v, l in rows if i is not None and l is not None and v and not any(x is None or not np.isfinite(x) for x in v) and any(v)]
-    links, comp = {i: 0 for i, _, _ in rows}, {i: i for i, _, _ in rows}
+    """(id, links, component) of each row; rows are told apart by their place, as ids may repeat."""
+    ok = [(k, np.array(v, np.float32).astype(float), l) for k, (i, v, l) in enumerate(rows) if i is not None and l is not None and v and not any(x is None or not np.isfinite(x) for x in v) and any(v)]
+    links, up = [0] * len(rows), list(range(len(rows)))
 
     def root(x):
-        while comp[x] != x:
-            x = comp[x]
+        while up[x] != x:
+            x = up[x]
         return x
 
     for n, (i, a, l) in enumerate(ok):
@@ -22,9 +23,11 @@ def brute(rows):
             if l == k and len(a) == len(b) and a @ b / np.sqrt((a @ a) * (b @ b)) >= 0.98:
                 links[i] += 1
                 links[j] += 1
-                x, y = sorted((root(i), root(j)))
-                comp[y] = x
-    return {i: (links[i], root(i)) for i in links}
+                up[root(i)] = root(j)
+    least = {}
+    for k, (i, _, _) in enumerate(rows):
+        least[root(k)] = i if i is None else min(i, least.get(root(k), i))
+    return Counter((rows[k][0], links[k], least[root(k)]) for k in range(len(rows)))
 
 
 def rows():
@@ -45,13 +48,43 @@ def frame(spark, data):
     return spark.createDataFrame([(*x, 1, "clash") for x in data], SCHEMA)
 
 
+def found(df):
+    return Counter((r.id, r.n_links, r.component_id) for r in df.collect())
+
+
 def test_matches_brute_force_with_hot_lists_split(spark):
     data = rows()
     want = brute(data)
-    assert max(x[0] for x in want.values()) > 40
-    for block in (embeddings.BLOCK, 64):
-        out = embeddings.near_duplicates(frame(spark, data), lists=8, block=block).collect()
-        assert len(out) == len(data) and {r.id: (r.n_links, r.component_id) for r in out} == want
+    assert max(n for _, n, _ in want) > 40
+    for block in (None, 64):
+        assert found(embeddings.near_duplicates(frame(spark, data), list_rows=40, block=block)) == want
+
+
+def test_two_levels_of_lists(spark, monkeypatch):
+    monkeypatch.setattr(embeddings, "LEVEL", 4)
+    data = rows()
+    assert found(embeddings.near_duplicates(frame(spark, data), list_rows=30)) == brute(data)
+
+
+def test_rows_that_repeat_an_id(spark):
+    """Valid and invalid vectors, and different ones, under one id: each row has the links of its own vector."""
+    a, b, c = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.0, 1.0, 0.01]
+    data = [(1, a, 1), (1, None, 1), (1, b, 1), (2, c, 1), (3, b, 1), (1, b, 1), (4, a, 1), (5, a, 2), (1, [0.0] * 3, 1)]
+    assert found(embeddings.near_duplicates(frame(spark, data))) == brute(data)
+
+
+def test_recall_of_probes(spark):
+    """Many lists, noise in all of 64 directions up to the threshold: over 0.99 of the links, and none that is none."""
+    r = np.random.default_rng(5)
+    base = r.normal(size=(700, 64))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    noise = r.normal(size=base.shape)
+    near = base + noise / np.linalg.norm(noise, axis=1, keepdims=True) * r.uniform(0.1, 0.22, (700, 1))
+    data = [(i, [float(x) for x in v], 0) for i, v in enumerate(np.vstack((base, near)))]
+    want = sum(n * k for (_, n, _), k in brute(data).items())
+    got = {r.id: r.n_links for r in embeddings.near_duplicates(frame(spark, data), list_rows=20).collect()}
+    assert want > 500 and 0.99 * want <= sum(got.values()) <= want
+    assert found(embeddings.near_duplicates(frame(spark, data), list_rows=20, spread=float("inf"))) == brute(data)
 
 
 def test_query_and_null_ids(spark, tmp_path):

@@ -89,14 +89,20 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP8_SQL = r"""
 WITH m AS (SELECT doc_id, max(toxic) AS toxic, min(quality) AS quality FROM labels GROUP BY doc_id),
+d AS (
+  SELECT doc_id, source, lang, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS words, coalesce(strlen(text), 0) AS bytes,
+         coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]*[\p{L}\p{N}][^\x20\x09-\x0D]*')), 0) AS real
+  FROM documents WHERE doc_id IS NOT NULL),
+w AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY words DESC, source DESC NULLS LAST, lang DESC NULLS LAST) = 1),
+b AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY bytes DESC, source DESC NULLS LAST, lang DESC NULLS LAST) = 1),
+r AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY real DESC, source DESC NULLS LAST, lang DESC NULLS LAST) = 1),
 c AS (
-  SELECT d.source, d.lang,
-         CASE WHEN m.quality = 0 THEN len(regexp_extract_all(text, '[^\x20\x09-\x0D]*[\p{L}\p{N}][^\x20\x09-\x0D]*')) ELSE len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) END AS words,
-         strlen(text) AS bytes
-  FROM documents d LEFT JOIN m USING (doc_id) WHERE coalesce(m.toxic, 0) <> 1)
-SELECT source, lang, 'words-1' AS tokenizer, count(*) AS n_docs, CAST(sum(coalesce(words, 0)) AS BIGINT) AS n_tokens FROM c GROUP BY 1, 2
-UNION ALL
-SELECT source, lang, 'bytes-1', count(*), CAST(sum(coalesce(bytes, 0)) AS BIGINT) FROM c GROUP BY 1, 2
+  SELECT CASE WHEN m.quality = 0 THEN coalesce(r.source, w.source) ELSE w.source END AS source, CASE WHEN m.quality = 0 THEN coalesce(r.lang, w.lang) ELSE w.lang END AS lang,
+         'words-1' AS tokenizer, CASE WHEN m.quality = 0 THEN r.real ELSE w.words END AS n
+  FROM w JOIN r USING (doc_id) LEFT JOIN m USING (doc_id) WHERE coalesce(m.toxic, 0) <> 1
+  UNION ALL
+  SELECT b.source, b.lang, 'bytes-1', b.bytes FROM b LEFT JOIN m USING (doc_id) WHERE coalesce(m.toxic, 0) <> 1)
+SELECT source, lang, tokenizer, count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_tokens FROM c GROUP BY ALL
 """
 
 

@@ -8,8 +8,10 @@ algorithm gives the least edit distance between the whole item and any part of t
 The items go to the executors in blocks of at most ``BLOCK_CHARS`` characters, a proven size bound for each broadcast; with more
 items there are more blocks, each run against all rows.
 
-Defined results: null or blank texts and items match nothing; items shorter than ``FUZZY`` normalised
-characters match without edits and on word boundaries only (scripts written without spaces have none). Repeated items and documents each give their own rows. Extra columns are ignored by
+Defined results: null or blank texts and items match nothing; items shorter than ``FUZZY`` normalised characters match without
+edits and on word boundaries only (scripts written without spaces have none). A leak's distance is the least in the whole text;
+``times`` counts maximal runs of places where the item can end within its budget, for short items its occurrences (which may
+overlap). Repeated items and documents each give their own rows, also those with null ids. Extra columns are ignored by
 ``find_leaks`` and kept by ``drop_leaks``.
 """
 
@@ -27,8 +29,8 @@ from pyspark.sql import functions as F
 from .common import rows_as_bytes, text_batches
 
 RATE = 0.05
-#: Least normalised characters of an item that is searched, and of one that may differ by edits.
-MIN_ITEM, FUZZY = 1, 24
+#: Least normalised characters of an item that may differ by edits.
+FUZZY = 24
 BLOCK_CHARS = 4_000_000
 
 _GAPS = re.compile(r"[\W_]+")
@@ -64,11 +66,11 @@ def positions(item: str) -> dict[str, int]:
     return out
 
 
-def best_match(peq: dict[str, int], m: int, window: str) -> tuple[int, int]:
-    """(least edit distance of the item to any part of ``window``, where that part ends): Myers' bit vectors as integers of m bits."""
+def scores(peq: dict[str, int], m: int, window: str) -> Iterator[int]:
+    """For each end in ``window``, the least edit distance of the item to a part that ends there: Myers' bit vectors as integers of m bits."""
     full, top = (1 << m) - 1, 1 << (m - 1)
-    pv, mv, score, best, end = full, 0, m, m, 0
-    for j, c in enumerate(window):
+    pv, mv, score = full, 0, m
+    for c in window:
         eq = peq.get(c, 0)
         xv = eq | mv
         xh = (((eq & pv) + pv) ^ pv) | eq
@@ -82,13 +84,22 @@ def best_match(peq: dict[str, int], m: int, window: str) -> tuple[int, int]:
         mh = mh << 1 & full
         pv = mh | ~(xv | ph) & full
         mv = ph & xv
-        if score < best:
-            best, end = score, j + 1
-    return best, end
+        yield score
+
+
+def runs(peq: dict[str, int], m: int, k: int, window: str) -> tuple[int, int]:
+    """(least distance, number of separate occurrences: maximal runs of ends within ``k``) of an item in ``window``."""
+    least, times, inside = m, 0, False
+    for d in scores(peq, m, window):
+        if d <= k:
+            times += not inside
+            least = min(least, d)
+        inside = d <= k
+    return least, times
 
 
 class Matcher:
-    def __init__(self, items: list[tuple[int, str]], rate: float = RATE):
+    def __init__(self, items: list[tuple[int | None, str]], rate: float = RATE):
         self.items = [(i, t, budget(t, rate), positions(t)) for i, t in items]
         self.auto = ahocorasick.Automaton()
         where: dict[str, list[tuple[int, int]]] = {}
@@ -101,38 +112,50 @@ class Matcher:
             self.auto.make_automaton()
         self.any = bool(where)
 
-    def leaks(self, text: str) -> list[tuple[int, int, int]]:
-        """(item id, least distance, number of separate occurrences) of the items in a text."""
+    def leaks(self, text: str) -> list[tuple[int | None, int, int]]:
+        """(item id, least distance, number of separate occurrences) of the items in a text.
+
+        The windows around an item's piece hits are joined where they overlap, so each part of the text is verified once.
+        """
         if not self.any:
             return []
-        t, found, seen = normalise(text), {}, {}
+        t, found = normalise(text), {}
+        windows: dict[int, list[list[int]]] = {}
         for end, (size, places) in self.auto.iter(t):
             for n, off in places:
-                ident, item, k, peq = self.items[n]
+                _, item, k, _ = self.items[n]
                 at = end + 1 - size - off  # where the item would begin without edits
-                done = seen.get(n)
-                if done is not None and at <= done:
-                    continue  # inside a window already verified as a match
                 if len(item) < FUZZY:
                     if on_boundaries(t, at, end + 1):
                         found[n] = (0, found.get(n, (0, 0))[1] + 1)
-                        seen[n] = end
                     continue
-                lo = max(0, at - k)
-                d, stop = best_match(peq, len(item), t[lo : at + len(item) + k])
-                if d <= k:
-                    least, times = found.get(n, (d, 0))
-                    found[n] = (min(least, d), times + 1)
-                    seen[n] = lo + stop - len(item) // 2  # later hits of the same occurrence begin before this
+                lo, hi = at - k, at + len(item) + k
+                mine = windows.setdefault(n, [])
+                if mine and lo <= mine[-1][1] and hi >= mine[-1][0]:
+                    mine[-1][:] = min(lo, mine[-1][0]), max(hi, mine[-1][1])
+                else:
+                    mine.append([lo, hi])
+        for n, mine in windows.items():
+            _, item, k, peq = self.items[n]
+            joined: list[list[int]] = []
+            for lo, hi in sorted(mine):
+                if joined and lo <= joined[-1][1]:
+                    joined[-1][1] = max(hi, joined[-1][1])
+                else:
+                    joined.append([lo, hi])
+            got = [runs(peq, len(item), k, t[max(0, lo) : max(0, hi)]) for lo, hi in joined]
+            least, times = min(d for d, _ in got), sum(c for _, c in got)
+            if times:
+                found[n] = (least, times)
         return [(self.items[n][0], d, times) for n, (d, times) in sorted(found.items())]
 
 
 def item_blocks(items: DataFrame, id_col: str, text_col: str, chars: int = BLOCK_CHARS) -> Iterator[list[tuple[int, str]]]:
     """Blocks of normalised items, streamed to the driver one partition at a time."""
     block, n = [], 0
-    for r in items.select(id_col, text_col).where(F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).toLocalIterator():
+    for r in items.select(id_col, text_col).where(F.col(text_col).isNotNull()).toLocalIterator():
         t = normalise(r[1])
-        if len(t) >= MIN_ITEM:
+        if t:
             block.append((r[0], t))
             n += len(t)
             if n >= chars:

@@ -84,6 +84,9 @@ def test_stage_keeps_one_of_each_group(spark):
     assert kept == set(range(20)) | {45, 46, 47}
     rows = simhash.keep_first(frame(spark, [base[0], base[0], base[1], base[1], None], ids=[None, None, 8, 8, None])).collect()
     assert sorted(str(x.doc_id) for x in rows) == ["8", "None", "None", "None"]
+    rows = simhash.keep_first(frame(spark, [base[0], base[1], base[1], near[1], base[2], near[2]], ids=[4, 4, 4, 9, 6, 6])).collect()  # different texts under one id
+    assert sorted((x.doc_id, x.text in base[:2]) for x in rows) == [(4, True), (4, True), (6, False)]
+    assert len({x.text for x in rows}) == 3
 
 
 def shingles(t):
@@ -126,9 +129,21 @@ def test_partition_keys_cover_every_pair_of_the_bound():
             assert np.intersect1d(simhash.partition_keys(x), simhash.partition_keys(y)).size, (n, m)
 
 
+def test_bands_find_large_sets_at_the_bound():
+    """Random pairs at similarity 0.8 just above the size where bands begin, and far above: at least 0.999 share a band."""
+    r, lost = np.random.default_rng(6), 0
+    for k in range(3000):
+        n = (104, 130, 300, 2000)[k % 4]
+        x = r.integers(0, 1 << 64, n, np.uint64)
+        y = np.concatenate((x[: n - n // 9], r.integers(0, 1 << 64, n // 9, np.uint64)))
+        lost += not np.intersect1d(simhash.band_keys(x), simhash.band_keys(y)).size
+    assert lost <= 3
+    assert simhash.set_keys(np.zeros(0, np.uint64)).size == 0
+
+
 def test_groups_of_copies_and_hot_lines(spark, monkeypatch):
     monkeypatch.setattr(simhash, "HOT_BUCKET", 8)
-    monkeypatch.setattr(simhash, "BLOCK_SETS", 16)
+    monkeypatch.setattr(simhash, "BLOCK_BYTES", 16 * 8 * 40)
     r = random.Random(8)
     line = " ".join(f"c{i}" for i in range(12))
     base = [f"b{i}" for i in range(60)]

@@ -9,22 +9,25 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of an Arrow batch when whole texts cross to Python; bounds a worker's memory for very long texts.
-TEXT_ROWS = 256
+#: Bytes of an Arrow batch when whole texts cross to Python: a worker holds one batch, or one text that is longer.
+TEXT_BYTES = 8 << 20
 
 
 def text_batches(spark: SparkSession) -> None:
-    """Small Arrow batches, as one row may hold a very long text."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_ROWS))
+    """Bound Arrow batches by bytes. A plan reads the setting when it runs, so it stays; batches of other queries keep their rows
+    and are only cut where they exceed the bytes."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(TEXT_BYTES))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a temporary one only where none is set (tests)."""
+    """The shared folder that the cluster names. Where none is set a temporary one serves a local master; a cluster must name one."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="vexel-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -88,14 +91,15 @@ class Forest:
         return True
 
 
-def blocked(keyed: DataFrame, key: str, item: str, block_rows: int) -> DataFrame:
+def blocked(keyed: DataFrame, key: str, item: str, block_rows: int, weight: Column | None = None) -> DataFrame:
     """Split each bucket ``key`` into units that fit in a task, whatever its size.
 
-    A bucket with more than ``block_rows`` rows is dealt into blocks by a hash of ``item`` and every pair of blocks
-    becomes a unit, so each pair of rows meets in at least one unit and no unit holds more than about two blocks. Returns the
+    A bucket with more than ``block_rows`` rows (or of that ``weight``) is dealt into blocks by a hash of ``item`` and every pair of
+    blocks becomes a unit, so each pair of rows meets in at least one unit and no unit holds more than about two blocks. Returns the
     rows with columns ``unit_i``, ``unit_j`` and ``mine`` (the row's own block), grouped and sorted by (key, unit_i, unit_j) within partitions.
     """
-    hot = keyed.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block_rows).select(key, F.ceil(F.col("n") / block_rows).cast("int").alias("nb"))
+    size = F.count(F.lit(1)) if weight is None else F.sum(weight)
+    hot = keyed.groupBy(key).agg(size.alias("n")).where(F.col("n") > block_rows).select(key, F.ceil(F.col("n") / block_rows).cast("int").alias("nb"))
     rows = keyed.join(hot, key, "left")
     mine = F.pmod(F.xxhash64(item), F.col("nb")).cast("int")
     rows = rows.withColumn("mine", F.when(F.col("nb").isNull(), F.lit(0)).otherwise(mine))

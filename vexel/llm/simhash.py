@@ -1,4 +1,4 @@
-"""Near-duplicates: SimHash by pigeonhole blocks, and exact Jaccard similarity of shingle sets (``wide_near_duplicates``).
+"""Near-duplicates: SimHash by pigeonhole blocks, and Jaccard similarity of shingle sets (``wide_near_duplicates``).
 
 A text is cut into words (runs of anything but ASCII white space, A-Z lower-cased), its word shingles are hashed with XXH64
 (seed 42), and bit i of the fingerprint is set if it is set in over half of the hashes. Fingerprints within ``k`` bits must
@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Forest, blocked, components, hamming_links, popcount, rows_as_bytes, sorted_groups, text_batches, write_table
+from .common import Forest, blocked, components, drop_table, hamming_links, popcount, rows_as_bytes, sorted_groups, text_batches, write_table
 
 _U = np.uint64
 
@@ -101,14 +101,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     comp = components(links)
     labelled = reps.join(comp, reps.fp0 == comp.node, "left").select("fp0", "least", F.coalesce("component", "fp0").alias("c"))
     named = labelled.groupBy("c").agg(F.min("least").alias("component_id"))
-    by_print = labelled.join(named, "c").select("fp0", "component_id")
+    by_print = write_table(labelled.join(named, "c").select("fp0", "component_id"), "simhash-components")
+    drop_table(comp)
     return prints.join(by_print, "fp0").select("id", F.col("fp0").alias("fingerprint"), F.when(F.col("id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
 #: Rows of a bucket above which all are linked to one, unfiltered: links are candidates only, so none is lost.
 HOT_BUCKET = 2048
-#: Sets of a block when the pairs of a group of candidates are compared.
-BLOCK_SETS = 256
+#: Bytes of hashes in a block when the pairs of a group of candidates are compared.
+BLOCK_BYTES = 16 << 20
+#: Sets of up to so many hashes have keys by parts, which find every pair; sets of over four fifths of it have keys by bands.
+SMALL = 128
+#: Bands, and hashes of a band.
+BANDS, BAND = 35, 5
 
 
 @functools.cache
@@ -151,6 +156,27 @@ def partition_keys(h: np.ndarray) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, _U)
 
 
+def band_keys(h: np.ndarray) -> np.ndarray:
+    """``BANDS`` keys of a set, each of ``BAND`` elements: those that follow the band's point in as many orders of the hashes.
+
+    An element that follows a point in the union of two sets lies in both with the probability of their Jaccard similarity, so at
+    0.8 two sets share a given band with probability 0.8 ** 5 = 0.33, and none of the bands with about (1 - 0.33) ** 35 = 1e-6.
+    """
+    at = (np.arange(BANDS, dtype=np.uint64) * _U((1 << 64) // BANDS)).astype(_U)
+    key = np.arange(BANDS, dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        for i in range(BAND):
+            x = np.sort(_mix(h, 101 + i))
+            key = _mix(key ^ x[np.searchsorted(x, at) % len(x)], 7)
+    return key
+
+
+def set_keys(h: np.ndarray) -> np.ndarray:
+    """Keys of which two sets at Jaccard similarity 0.8 or more share one: two small sets always, others but for about 1 pair in a million."""
+    parts = partition_keys(h) if len(h) <= SMALL else h[:0]
+    return np.concatenate((parts, band_keys(h))) if len(h) > SMALL * 4 // 5 else parts
+
+
 def shingle_set(text: bytes | None, shingle: int) -> tuple[np.ndarray, int]:
     """The sorted distinct hashes of a text and a hash of them all."""
     h = np.unique(shingle_hashes(text, shingle))
@@ -162,19 +188,18 @@ def parity(h: np.ndarray) -> int:
     return int((np.bincount((h & _U(63)).astype(np.int64), minlength=64) % 2 << np.arange(64)).sum())
 
 
-def shingle_sets(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """(id, fp, n, bits, keys): set hash, size, parity bits and partition keys of each row."""
-    text_batches(docs.sparkSession)
+def shingle_sets(rows: DataFrame, shingle: int) -> DataFrame:
+    """(id, digest, fp, n, bits, keys): set hash, size, parity bits and keys of each row (id, digest, text)."""
+    text_batches(rows.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = [shingle_set(t, shingle) for t in rows_as_bytes(b, "text")]
-            keys = [partition_keys(h).view(np.int64) for h, _ in sets]
+            keys = [set_keys(h).view(np.int64) for h, _ in sets]
             cols = [pa.array([f for _, f in sets], pa.int64()), pa.array([len(h) for h, _ in sets], pa.int32()), pa.array([parity(h) for h, _ in sets], pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([b.column(0), *cols], ["id", "fp", "n", "bits", "keys"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *cols], ["id", "digest", "fp", "n", "bits", "keys"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "id long, fp long, n int, bits long, keys array<long>")
+    return rows.mapInArrow(run, "id long, digest long, fp long, n int, bits long, keys array<long>")
 
 
 def candidate_links(keyed: DataFrame) -> DataFrame:
@@ -206,10 +231,11 @@ def candidate_links(keyed: DataFrame) -> DataFrame:
 
 
 def similar_links(sets: DataFrame) -> DataFrame:
-    """Spanning links (a, b) between the sets (component, fp, hashes) of a component at Jaccard similarity 0.8 or more, by exact comparison."""
+    """Spanning links (a, b) between the sets (component, fp, hashes) of a component at Jaccard similarity 0.8 or more, by exact
+    comparison of all pairs that no earlier link joins and whose sizes allow it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t, bounds in sorted_groups(batches, ["component", "unit_i", "unit_j"], BLOCK_SETS):
+        for t, bounds in sorted_groups(batches, ["component", "unit_i", "unit_j"], 256):
             ids, held = t.column("fp").to_numpy(), t.column("hashes")
             forest, out = Forest(), []
             for lo, hi in zip(bounds, bounds[1:]):
@@ -217,64 +243,80 @@ def similar_links(sets: DataFrame) -> DataFrame:
                     continue
                 rows = [np.frombuffer(held[k].as_py(), _U) for k in range(lo, hi)]
                 n = np.array([len(x) for x in rows])
-                starts = np.concatenate(([0], np.cumsum(n)[:-1]))
+                order = np.argsort(n, kind="stable")  # partners by size lie side by side
+                n, names = n[order], ids[lo:hi][order].tolist()
+                rows = [rows[i] for i in order.tolist()]
+                bits = np.array([parity(x) for x in rows], np.int64).view(_U)
+                starts = np.concatenate(([0], np.cumsum(n)))
                 words, where = np.unique(np.concatenate(rows), return_inverse=True)
-                mark = np.zeros(len(words), bool)
+                mark, of = np.zeros(len(words), bool), np.arange(hi - lo)
                 for i in range(hi - lo - 1):
-                    mine = where[starts[i] : starts[i] + n[i]]
-                    mark[mine] = True
-                    both = np.add.reduceat(mark[where[starts[i + 1] :]], starts[i + 1 :] - starts[i + 1], dtype=np.int64)
-                    mark[mine] = False
-                    for j in np.flatnonzero(5 * both >= 4 * (n[i] + n[i + 1 :] - both)):
-                        x, y = int(ids[lo + i]), int(ids[lo + i + 1 + j])
-                        if x != y and forest.join(x, y):
-                            out.append((x, y))
+                    end = int(np.searchsorted(n, n[i] * 5 // 4, "right"))
+                    left = np.arange(i + 1, end)
+                    left = left[(of[left] != of[i]) & (popcount(bits[left] ^ bits[i]) <= differing(n[left], n[i]))]
+                    while len(left):  # a few at first: in a group of copies the first links join the rest
+                        some, left = left[:8], left[8:]
+                        mark[where[starts[i] : starts[i + 1]]] = True
+                        both = np.array([np.count_nonzero(mark[where[starts[j] : starts[j + 1]]]) for j in some.tolist()])
+                        mark[where[starts[i] : starts[i + 1]]] = False
+                        for j in some[5 * both >= 4 * (n[i] + n[some] - both)].tolist():
+                            of[of == of[j]] = of[i]
+                            if forest.join(names[i], names[j]):
+                                out.append((names[i], names[j]))
+                        left = left[of[left] != of[i]]
             if out:
                 a, b = zip(*out)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    return blocked(sets, "component", "fp", BLOCK_SETS).mapInArrow(run, "a long, b long")
+    return blocked(sets, "component", "fp", BLOCK_BYTES, F.octet_length("hashes")).mapInArrow(run, "a long, b long")
 
 
 def wide_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
-    """(id, component_id): components of texts whose sets of ``shingle``-word shingles have Jaccard similarity 0.8 or more.
+    """(id, digest, component_id, keeper): components of texts whose sets of ``shingle``-word shingles have Jaccard similarity 0.8 or
+    more, for each row; ``digest`` is xxhash64 of the text, ``keeper`` the (id, digest) that stands for the component, its least.
 
-    Exact up to collisions of 64-bit hashes: pairs that share a partition key, which all such pairs do, form groups of candidates,
-    inside which all pairs are compared.
+    Pairs that share a key form groups of candidates, inside which all pairs are compared exactly (up to collisions of 64-bit hashes).
     """
-    prints = write_table(shingle_sets(docs, id_col, text_col, shingle), "shingle-sets")
-    reps = write_table(prints.groupBy("fp").agg(F.min("id").alias("least")), "shingle-reps")
-    first = prints.join(reps.select("fp", F.col("least").alias("id")), ["fp", "id"], "left_semi")
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")  # rows of fixed width
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("digest"), F.col(text_col).cast("string").alias("text"))
+    prints = write_table(shingle_sets(rows, shingle), "shingle-sets")
+    reps = write_table(prints.groupBy("fp").agg(F.min(F.struct("id", "digest")).alias("least")), "shingle-reps")
+    first = prints.join(reps.select("fp", "least.id", "least.digest"), ["fp", "id", "digest"], "left_semi")
     comp = components(candidate_links(first.select(F.explode("keys").alias("key"), "fp", "n", "bits")))
-    need = reps.join(comp, reps.fp == comp.node).select(F.col("least").alias("id"), "fp", "component")
-    text_batches(docs.sparkSession)
+    need = reps.join(comp, reps.fp == comp.node).select("least.id", "least.digest", "fp", "component")
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [shingle_set(t, shingle) for t in rows_as_bytes(b, "text")]
-            same = pa.array([f == want for (_, f), want in zip(sets, b.column(0).to_pylist())], pa.bool_())  # ids may repeat
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([h.tobytes() for h, _ in sets], pa.binary())], ["fp", "component", "hashes"]).filter(same)
+            sets = [shingle_set(t, shingle)[0].tobytes() for t in rows_as_bytes(b, "text")]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sets, pa.binary())], ["fp", "component", "hashes"])
 
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(need, "id").select("fp", "component", "text")
+    texts = rows.join(need, ["id", "digest"]).select("fp", "component", "text")
     sets = write_table(texts.mapInArrow(hashes, "fp long, component long, hashes binary"), "shingle-hashes")
     same = components(similar_links(sets))
+    for done in (comp, sets):
+        drop_table(done)
     labelled = reps.join(same, reps.fp == same.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("c"))
-    named = labelled.groupBy("c").agg(F.min("least").alias("component_id"))
-    by_print = labelled.join(named, "c").select("fp", "component_id")
-    return prints.select("id", "fp").join(by_print, "fp").select("id", "component_id")
+    named = labelled.groupBy("c").agg(F.min("least").alias("keeper"))
+    by_print = write_table(labelled.join(named, "c").select("fp", "keeper"), "shingle-keepers")
+    drop_table(reps)
+    drop_table(same)
+    return prints.select("id", "digest", "fp").join(by_print, "fp").select("id", "digest", F.col("keeper.id").alias("component_id"), "keeper")
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id is the least of its group of near-duplicates, all columns as they are.
+    """Of each group of near-duplicates the row with the least id (among equal ids: the least text hash), all columns as they are.
 
-    Blank and null texts are no copies of each other: they stay. Of rows that repeat an id one stays; rows with a null id, which
-    no group can be named by, all stay.
+    Blank and null texts are no copies of each other: they stay, as do rows with a null id, which no group can be named by. Rows
+    that repeat an id are told apart by their texts; of rows that repeat both one stays.
     """
-    named = docs.where(F.col(id_col).isNotNull())
+    digest = F.xxhash64(F.col(text_col).cast("string"))
     blank = F.coalesce(F.trim(F.regexp_replace(F.col(text_col), r"[\x09-\x0D]", " ")), F.lit("")) == ""
-    some = named.where(~blank).select(id_col, text_col)
-    kept = wide_near_duplicates(some, id_col, text_col).where(F.col("id") == F.col("component_id")).select("id").distinct()
-    rows = named.join(kept.withColumnRenamed("id", "_kept"), F.col(id_col) == F.col("_kept"), "left")
-    rows = rows.where(F.col("_kept").isNotNull() | blank).drop("_kept").dropDuplicates([id_col])
-    return rows.unionByName(docs.where(F.col(id_col).isNull()))
+    judged = F.col(id_col).isNotNull() & ~blank
+    out = wide_near_duplicates(docs.where(judged).select(id_col, text_col), id_col, text_col)
+    told = out.groupBy("id", "digest").agg(F.first("keeper").alias("keeper"), F.count(F.lit(1)).alias("times"))
+    mine = F.struct("id", "digest") == F.col("keeper")
+    gone = write_table(told.where(~mine | (F.col("times") > 1)).select(F.col("id").alias("_id"), F.col("digest").alias("_digest"), mine.alias("_one")), "near-duplicates")
+    same = (F.col(id_col).cast("long") == F.col("_id")) & (digest == F.col("_digest"))
+    rows = docs.join(gone, same & judged, "left_anti")
+    if gone.where("_one").limit(1).count():  # whole rows that repeat
+        rows = rows.unionByName(docs.where(judged).join(gone.where("_one"), same, "left_semi").dropDuplicates([id_col, text_col]))
+    return rows

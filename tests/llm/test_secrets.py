@@ -36,6 +36,25 @@ def test_base_spans_match_regular_expressions(spark, tmp_path):
     assert "github:0:40" in out[2].spans
 
 
+def test_all_rules_from_one_pass_equal_a_pass_of_re_each():
+    scan, r = secrets.scanner(), random.Random(12)
+    parts = ["ghp_", "gho_" + "a" * 36, "xoxb-", "1-a2-", "-----BEGIN ", "RSA ", "PRIVATE KEY-----", "eyJ", "abc_-", ".", "AIza", "x" * 35, "AKIA", "Q" * 16, "0f" * 12, "token", "=", " ", "é"]
+    for _ in range(4000):
+        t = "".join(r.choices(parts, k=r.randint(1, 16)))
+        want = []
+        for i, rule in enumerate(secrets.RULES):
+            for m in re.finditer(rule.pattern, t, re.I if rule.ignore_case else 0):
+                if rule.keep(m[0].encode()):
+                    want.append((m.start(), i, m.end()))
+        assert scan.spans(t.encode()) == [(a, b, secrets.RULES[i].kind) for a, i, b in sorted(want)], t
+
+
+def test_empty_table_repeats_and_null_ids(spark):
+    assert secrets.find_secrets(frame(spark, [])).count() == 0
+    out = secrets.find_secrets(frame(spark, ["token=abcdef"] * 3, ids=[None, 2, 2])).collect()
+    assert sorted(str(x.id) for x in out) == ["2", "2", "None"] and {x.spans for x in out} == {"assign:0:12"}
+
+
 @pytest.mark.parametrize("pattern", ["(ab|a)c?d{2,3}", "a[^b-d]+e", "(x|yz)*w", r"\x41\.[0-9]{2}"])
 def test_automaton_agrees_with_re(pattern):
     dfa, r = automaton.compile_rules([automaton.parse(pattern)], False), random.Random(2)

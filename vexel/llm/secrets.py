@@ -1,12 +1,12 @@
 """Secret scans: one deterministic automaton for all rules.
 
-The rules' expressions are compiled together by subset construction, minimised and laid out as a transition array, and each
-text's bytes pass through it once; the accepting states met say which rules match. Only for those rules are spans
-settled: the rule's own automaton gives the earliest end, its reversed form the leftmost start, the anchored form the longest
-end, and matching goes on behind it. Matches that fail a rule's filter are dropped, without another try inside them.
+The rules' expressions are compiled together by subset construction, minimised and laid out as a transition array. Each text's bytes
+pass through it once, and the accepting states met give the places where matches of each rule first end. From such a place
+the rule's reversed automaton walks back over the match to its leftmost start, and the anchored one from there to its longest
+end: bytes of matches only are read again. Matches that fail a rule's filter are dropped, without another try inside them.
 
 Spans count code points, end exclusive. Defined results: null and empty texts have no spans; all bytes of a text of any
-length are scanned; extra columns are ignored.
+length are scanned; rows that repeat or have null ids keep their rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -61,54 +61,53 @@ class Scanner:
         self.rules = rules
         trees = [parse(r.pattern, r.ignore_case) for r in rules]
         self.all = compile_rules([earliest(t) for t in trees], True)
-        self.one: list[tuple[Dfa, Dfa, Dfa]] = [(compile_rules([earliest(t)], True), compile_rules([reverse(t)], False), compile_rules([t], False)) for t in trees]  # byte classes are those of the rule in all three
+        self.one: list[tuple[Dfa, Dfa]] = [(compile_rules([reverse(t)], False), compile_rules([t], False)) for t in trees]
 
-    def hit_rules(self, data: bytes) -> int:
-        """Bits of the rules that match somewhere: one pass over the bytes."""
-        table, accepting, rules = self.all.table, self.all.accepting, self.all.rules
-        s = hits = 0
-        for c in data.translate(self.all.classes):
+    def ends(self, data: bytes) -> dict[int, list[int]]:
+        """Of each rule that matches, the places of the last bytes of its shortest matches: one pass over the bytes for all rules."""
+        table, accepting = self.all.table, self.all.accepting
+        s, met = 0, []
+        for e, c in enumerate(data.translate(self.all.classes)):
             s = table[s + c]
             if s >= accepting:
-                hits |= rules[s // self.all.width]
-        return hits
-
-    def rule_spans(self, data: bytes, i: int) -> Iterator[tuple[int, int]]:
-        find, back, ahead = self.one[i]
-        keep, at, n = self.rules[i].keep, 0, len(data)
-        text, data = data, data.translate(find.classes)
-        while at < n:
-            s, table, accepting = 0, find.table, find.accepting
-            for e in range(at, n):
-                s = table[s + data[e]]
-                if s >= accepting:
-                    break
-            else:
-                return
-            start, s, table, accepting = e, 0, back.table, back.accepting
+                met.append((e, s))
+        out: dict[int, list[int]] = {}
+        for e, s in met:
+            bits = self.all.rules[s // self.all.width]
+            while bits:
+                out.setdefault((bits & -bits).bit_length() - 1, []).append(e)
+                bits &= bits - 1
+        return out
+
+    def rule_spans(self, data: bytes, i: int, ends: list[int]) -> Iterator[tuple[int, int]]:
+        back, ahead = self.one[i]
+        keep, at = self.rules[i].keep, 0
+        for e in ends:
+            if e < at:
+                continue
+            start, s, table, classes, accepting = None, 0, back.table, back.classes, back.accepting
             for x in range(e, at - 1, -1):
-                s = table[s + data[x]]
+                s = table[s + classes[data[x]]]
                 if s >= accepting:
                     start = x
                 elif s == back.dead:
                     break
-            end, s, table, accepting = e + 1, 0, ahead.table, ahead.accepting
-            for x in range(start, n):
-                s = table[s + data[x]]
+            if start is None:  # it would begin inside the match before
+                continue
+            end, s, table, classes, accepting = e + 1, 0, ahead.table, ahead.classes, ahead.accepting
+            for x in range(start, len(data)):
+                s = table[s + classes[data[x]]]
                 if s >= accepting:
                     end = x + 1
                 elif s == ahead.dead:
                     break
-            if keep(text[start:end]):
+            if keep(data[start:end]):
                 yield start, end
             at = end
 
     def spans(self, data: bytes) -> list[tuple[int, int, str]]:
         """(start, end, kind) in code points by start, then rule order."""
-        hits, out = self.hit_rules(data), []
-        for i, r in enumerate(self.rules):
-            if hits >> i & 1:
-                out += [(a, b, i) for a, b in self.rule_spans(data, i)]
+        out = [(a, b, i) for i, ends in self.ends(data).items() for a, b in self.rule_spans(data, i, ends)]
         if not out:
             return []
         cuts = sorted({x for a, b, _ in out for x in (a, b)})

@@ -70,3 +70,28 @@ def test_context_reaches_past_matches_of_the_same_kind(spark):
     assert [(s.kind, s.start) for s in got[0]] == [("short_card", 22)]
     assert [(s.kind, s.start) for s in got[1]] == [("ssn", 5), ("ssn", 18)]
     assert got[2] == []
+    a, b = pii.find_pii(frame(spark, ["card 4111111111111111, 5500005555555559"])).first().spans
+    assert a.score == b.score == 1.0
+
+
+def test_context_words_are_whole_words(spark):
+    texts = ["hotel 030-1234-567", "discard 4222222222222", "Telefon: 030-1234-567", "tel. 030-1234-567", "cards 4222222222222", "card4 x 4222222222222"]
+    assert {r.id: [s.kind for s in r.spans] for r in pii.find_pii(frame(spark, texts)).collect()} == {0: [], 1: [], 2: ["local_phone"], 3: ["local_phone"], 4: ["short_card"], 5: []}
+
+
+def test_grouped_ibans(spark):
+    texts = ["pay DE89 3704 0044 0532 0130 00 now", "GB82 WEST 1234 5698 7654 32", "DE89 3704 0044 0532 0130 01", "NO93 8601 1117 947", "xDE89 3704 0044 0532 0130 00"]
+    got = {r.id: [(s.kind, s.start, s.finish) for s in r.spans if s.kind == "iban"] for r in pii.find_pii(frame(spark, texts)).collect()}
+    assert got == {0: [("iban", 4, 31)], 1: [("iban", 0, 27)], 2: [], 3: [("iban", 0, 18)], 4: []}
+
+
+def test_many_matches_in_one_text(spark):
+    """Places stay right over many runs of parts; the time grows far less than with the square (a fold in one run takes minutes here)."""
+    n = 60_000
+    spans = pii.find_pii(frame(spark, ["é1.2.3.4 " * n])).first().spans
+    assert [(s.kind, s.start, s.finish) for s in spans] == [("ip", 9 * i + 1, 9 * i + 8) for i in range(n)]
+
+
+def test_null_ids_and_repeats_keep_their_rows(spark):
+    out = pii.find_pii(frame(spark, ["a@b.c", "a@b.c", None], ids=[None, 3, 3])).collect()
+    assert sorted((str(r.id), len(r.spans)) for r in out) == [("3", 0), ("3", 1), ("None", 1)]

@@ -75,8 +75,8 @@ def node_of(url: Column) -> Column:
     return F.when(F.instr(cut, "://") > 0, F.concat(F.lower(scheme), F.lit("://"), host_of(cut), tail))
 
 
-_CANONICAL = re.compile(r"(?i)<link\b[^>]*\brel\s*=\s*[\"']?canonical[\"' /][^>]*>")
-_REFRESH = re.compile(r"(?i)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh[\"' /][^>]*>")
+_CANONICAL = re.compile(r"(?i)<link\b[^>]*\brel\s*=\s*[\"']?canonical(?=[\"'\s/>])[^>]*>")
+_REFRESH = re.compile(r"(?i)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh(?=[\"'\s/>])[^>]*>")
 _HREF = re.compile(r"(?i)\bhref\s*=\s*[\"']?([^\"'\s>]+)")
 _URL = re.compile(r"(?i)\burl\s*=\s*[\"']?([^\"'\s>]+)")
 _ABSOLUTE = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*:")
@@ -134,30 +134,55 @@ def judge(pages: DataFrame, rules: tuple[UrlRule, ...] = RULES, redirects: DataF
     return rows.select("id", "host", "path", F.col("own.rule").alias("rule"), verdict.alias("verdict"), F.coalesce("component", "node").alias("component"))
 
 
-#: The same in DuckDB SQL; recursion over the edges that pages declare.
+#: The same in DuckDB SQL; recursion over the edges that pages declare. Of HTML's entities it decodes ``&amp;``, of ``..`` it resolves
+#: up to four in a row.
 SQL = r"""
-WITH RECURSIVE p AS (
-  SELECT page_id, url, html,
-         CASE WHEN instr(url, '://') > 0 THEN translate(regexp_extract(substr(url, instr(url, '://') + 3), '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE '' END AS host,
-         CASE WHEN instr(url, '://') > 0 THEN regexp_extract(substr(url, instr(url, '://') + 3), '^[^/?#]*(/[^?#]*)?', 1) ELSE '' END AS path,
-         CASE WHEN instr(url, '://') > 0 THEN regexp_extract(url, '^[^#]*') END AS node
-  FROM pages),
+WITH RECURSIVE p0 AS (SELECT page_id, url, html, instr(url, '://') > 0 AS ok, substr(url, instr(url, '://') + 3) AS rest FROM pages),
+p AS (
+  SELECT page_id, html,
+         CASE WHEN ok THEN translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE '' END AS host,
+         CASE WHEN ok THEN regexp_extract(rest, '^[^/?#]*(/[^?#]*)?', 1) ELSE '' END AS path,
+         CASE WHEN ok THEN split_part(url, '://', 1) END AS scheme, CASE WHEN ok THEN regexp_extract(rest, '^[^/?#]*([^#]*)', 1) END AS tail
+  FROM p0),
+pn AS (SELECT *, CASE WHEN host IS NOT NULL AND scheme IS NOT NULL THEN lower(scheme) || '://' || host || tail END AS node FROM p),
+tags AS (
+  SELECT node, scheme, host, path, regexp_extract(t, '(?i)\bhref\s*=\s*["'']?([^"''\s>]+)', 1) AS l
+  FROM pn, unnest(regexp_extract_all(html, '(?i)<link\b[^>]*\brel\s*=\s*["'']?canonical(?:["''\s/][^>]*)?>')) x(t) WHERE node IS NOT NULL
+  UNION ALL
+  SELECT node, scheme, host, path, regexp_extract(t, '(?i)\burl\s*=\s*["'']?([^"''\s>]+)', 1)
+  FROM pn, unnest(regexp_extract_all(html, '(?i)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh(?:["''\s/][^>]*)?>')) x(t) WHERE node IS NOT NULL),
+l1 AS (SELECT * REPLACE (replace(l, '&amp;', '&') AS l) FROM tags WHERE l <> ''),
+l2 AS (
+  SELECT node, CASE WHEN regexp_matches(l, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN l WHEN starts_with(l, '//') THEN scheme || ':' || l
+                    WHEN starts_with(l, '/') THEN scheme || '://' || host || l WHEN starts_with(l, '?') THEN scheme || '://' || host || path || l
+                    WHEN starts_with(l, '#') THEN NULL ELSE scheme || '://' || host || coalesce(nullif(regexp_extract(path, '^.*/'), ''), '/') || l END AS l,
+         regexp_matches(l, '^[A-Za-z][A-Za-z0-9+.-]*:') OR starts_with(l, '//') AS whole
+  FROM l1),
+l3 AS (
+  SELECT node, whole, split_part(l, '://', 1) AS s, regexp_extract(substr(l, instr(l, '://') + 3), '^[^/?#]*') AS h,
+         regexp_extract(substr(l, instr(l, '://') + 3), '^[^/?#]*([^?#]*)', 1) AS pa, regexp_extract(l, '[?][^#]*') AS q
+  FROM l2 WHERE instr(l, '://') > 0),
+l4 AS (
+  SELECT *, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(pa, '/(\./)+', '/', 'g'), '/\.$', '/'),
+         '/[^/]+/\.\.(/|$)', '/'), '/[^/]+/\.\.(/|$)', '/'), '/[^/]+/\.\.(/|$)', '/'), '/[^/]+/\.\.(/|$)', '/') AS plain FROM l3),
 e AS (
-  SELECT node AS a, regexp_extract(l, '^[^#]*') AS b FROM (
-    SELECT node, regexp_extract(regexp_extract(html, '(?i)<link\b[^>]*\brel\s*=\s*["'']?canonical["'' /][^>]*>'), '(?i)\bhref\s*=\s*["'']?([^"''\s>]+)', 1) AS l FROM p
-    UNION ALL
-    SELECT node, regexp_extract(regexp_extract(html, '(?i)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh["'' /][^>]*>'), '(?i)\burl\s*=\s*["'']?([^"''\s>]+)', 1) FROM p)
-  WHERE node IS NOT NULL AND instr(l, '://') > 0),
-b AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+  SELECT node AS a, lower(s) || '://' || translate(h, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') || CASE WHEN whole THEN pa ELSE regexp_replace(plain, '^(/\.\.)+(/|$)', '/') END || q AS b FROM l4),
+b AS (SELECT a, b FROM e WHERE a <> b UNION SELECT b, a FROM e WHERE a <> b),
 r AS (SELECT a AS x, a AS y FROM b UNION SELECT r.x, b.b FROM r JOIN b ON r.y = b.a),
 rules(verdict, rhost, rpath) AS (VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')),
 u AS (
   SELECT p.page_id, p.host, p.path, p.node, arg_max(rhost || rpath, length(rhost || rpath)) AS rule, arg_max(verdict, length(rhost || rpath)) AS own
-  FROM p LEFT JOIN rules ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath)
+  FROM pn p LEFT JOIN rules ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath)
   GROUP BY ALL),
+nodes AS (
+  SELECT DISTINCT a AS node, regexp_extract(substr(a, instr(a, '://') + 3), '^[^/?#]*') AS host, regexp_extract(substr(a, instr(a, '://') + 3), '^[^/?#]*(/[^?#]*)?', 1) AS path
+  FROM b),
+told AS (
+  SELECT node, arg_max(verdict, length(rhost || rpath)) AS own FROM nodes LEFT JOIN rules ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath)
+  GROUP BY node),
 t AS (
-  SELECT r.x AS node, bool_or(u.own = 'block') AND NOT coalesce(bool_or(u.own = 'allow'), false) AS alias_block
-  FROM r JOIN u ON u.node = r.y GROUP BY r.x)
+  SELECT r.x AS node, bool_or(told.own = 'block') AND NOT coalesce(bool_or(told.own = 'allow'), false) AS alias_block
+  FROM r JOIN told ON told.node = r.y GROUP BY r.x)
 SELECT u.page_id, host, path, rule, coalesce(own, CASE WHEN t.alias_block THEN 'block' END, 'allow') AS verdict
 FROM u LEFT JOIN t USING (node)
 """

@@ -100,6 +100,7 @@ def blocked(keyed: DataFrame, key: str, item: str, block_rows: int, weight: Colu
     """
     size = F.count(F.lit(1)) if weight is None else F.sum(weight)
     hot = keyed.groupBy(key).agg(size.alias("n")).where(F.col("n") > block_rows).select(key, F.ceil(F.col("n") / block_rows).cast("int").alias("nb"))
+    hot = write_table(hot, "hot-keys")  # at most a row for each block: its size is then known, and a short table joins without a shuffle by key
     rows = keyed.join(hot, key, "left")
     mine = F.pmod(F.xxhash64(item), F.col("nb")).cast("int")
     rows = rows.withColumn("mine", F.when(F.col("nb").isNull(), F.lit(0)).otherwise(mine))

@@ -289,7 +289,7 @@ def wide_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
             sets = [shingle_set(t, shingle)[0].tobytes() for t in rows_as_bytes(b, "text")]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sets, pa.binary())], ["fp", "component", "hashes"])
 
-    texts = rows.join(need, ["id", "digest"]).select("fp", "component", "text")
+    texts = rows.join(need.hint("merge"), ["id", "digest"]).select("fp", "component", "text")  # grows with the corpus: not for a broadcast
     sets = write_table(texts.mapInArrow(hashes, "fp long, component long, hashes binary"), "shingle-hashes")
     same = components(similar_links(sets))
     for done in (comp, sets):
@@ -316,7 +316,7 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     mine = F.struct("id", "digest") == F.col("keeper")
     gone = write_table(told.where(~mine | (F.col("times") > 1)).select(F.col("id").alias("_id"), F.col("digest").alias("_digest"), mine.alias("_one")), "near-duplicates")
     same = (F.col(id_col).cast("long") == F.col("_id")) & (digest == F.col("_digest"))
-    rows = docs.join(gone, same & judged, "left_anti")
+    rows = docs.join(gone.hint("merge"), same & judged, "left_anti")
     if gone.where("_one").limit(1).count():  # whole rows that repeat
         rows = rows.unionByName(docs.where(judged).join(gone.where("_one"), same, "left_semi").dropDuplicates([id_col, text_col]))
     return rows

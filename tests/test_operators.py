@@ -138,9 +138,9 @@ def test_splits_reach_the_capacity_and_keep_every_entry(spark):
     r = np.random.default_rng(49)
     x = np.concatenate([r.normal(0, 0.07, (300, 8)) + np.eye(8)[a] for a in (0, 1)])
     df = frame(spark, x)
-    centres, entries, n = split.grow(df, 64)
+    centres, entries, done = split.grow(df, 64)
     sizes = [c["count"] for c in entries.groupBy("cell").count().collect()]
-    assert max(sizes) <= 64 and sum(sizes) == 2 * 600 and len(centres) == n + 2
+    assert max(sizes) <= 64 and sum(sizes) == 2 * 600 and len(centres) == done["splits"] + 2
     assert entries.groupBy("id", "slot").count().where("count <> 1").count() == 0
     assert split.default_capacity(1) == 64 and split.default_capacity(33) == 66 and split.default_capacity(1024) == 2048
     with pytest.raises(ValueError):

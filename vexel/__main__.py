@@ -1,4 +1,4 @@
-"""``python -m vexel``: create, build, bench, calibrate and serve collections."""
+"""``python -m vexel``: create, build, convert, pack, compact, validate, bench, calibrate and serve collections."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ import argparse
 import json
 import os
 import time
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
@@ -32,6 +33,15 @@ def parser() -> argparse.ArgumentParser:
     a.add_argument("k", type=int)
     for name, kind, default in (("eps", float, 0.2), ("m", int, 3), ("seed", int, 42), ("nmax", int, 0)):
         a.add_argument(f"--{name}", type=kind, default=default)
+    a.add_argument("--coarse", type=int, default=0, help="cells of a coarse level, 0 for none")
+    a.add_argument("--neighbours", type=int, default=64)
+    a.add_argument("--tqbits", type=int, choices=(1, 2, 4), help="add transform codes of so many bits")
+    a.add_argument("--cdim", type=int, help="dimensions of the transform codes")
+    a = sub.add_parser("convert", help="add residual codes to a frozen index; goes on where it broke off")
+    a.add_argument("path")
+    for name, text in (("pack", "route, split and encode the live vectors"), ("compact", "fold the log into a new base"), ("stats", "counters"), ("validate", "read and check the frozen index")):
+        a = sub.add_parser(name, help=text)
+        a.add_argument("path")
     a = sub.add_parser("bench", help="time a batch of queries")
     a.add_argument("path")
     a.add_argument("queries")
@@ -43,6 +53,9 @@ def parser() -> argparse.ArgumentParser:
     a.add_argument("workload")
     a.add_argument("--target", type=float, default=0.95)
     a.add_argument("--max-probes", type=int, default=1024)
+    a.add_argument("--max-rerank", type=int, default=2000)
+    a.add_argument("--max-seconds", type=float, help="of a batch; accept by a statistical bound, and the best choice within it")
+    a.add_argument("--checkpoint", help="file that a broken calibration goes on from")
     a = sub.add_parser("serve")
     a.add_argument("path")
     a.add_argument("--host", default="127.0.0.1")
@@ -50,31 +63,23 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
-def measure_with(spark: SparkSession, c: Collection, workload: str) -> C.Measure:
-    queries, truth = read_workload(spark, workload)
-    k = truth.agg(F.max("rank")).first()[0]
-
-    def measure(part: str, nprobe: int, rerank: int) -> C.Measurement:
-        q = queries.where(F.col("partition") == part).select("qid", "q")
-        began = time.perf_counter()
-        found = c.search(q, k, params=SearchParams(nprobe, max(rerank, k))).cache()
-        found.count()
-        seconds = time.perf_counter() - began
-        t = truth.join(q.select("qid"), "qid", "left_semi").join(found.select("qid", "id", F.lit(1).alias("hit")), ["qid", "id"], "left")
-        recalls = [r.r for r in t.groupBy("qid").agg((F.count("hit") / F.lit(float(k))).alias("r")).collect()]
-        found.unpersist()
-        return C.Measurement(nprobe, rerank, recalls, seconds)
-
-    return measure
-
-
 def main(argv: list[str] | None = None) -> int:
     a = parser().parse_args(argv)
     spark = SparkSession.builder.appName("vexel").getOrCreate()
     if a.command == "create":
         print(json.dumps(Collection.create(spark, a.path, a.dim, a.capacity).m))
     elif a.command == "build":
-        print(json.dumps(Collection.build_index(spark, a.path, _vectors(spark, a.base), a.k, a.eps, a.m, a.seed, a.nmax).m["index"]))
+        c = Collection.build_index(spark, a.path, _vectors(spark, a.base), a.k, a.eps, a.m, a.seed, a.nmax, a.coarse, a.neighbours)
+        if a.tqbits:
+            c.build_transform(a.tqbits, a.cdim)
+        print(json.dumps({k: v for k, v in c.m["index"].items() if k != "transform"}))
+    elif a.command == "convert":
+        c = Collection.open(spark, a.path)
+        c.build_residual()
+        print(json.dumps({"codes_for": c.m["index"]["codes_for"]}))
+    elif a.command in ("pack", "compact", "stats", "validate"):
+        c = Collection.open(spark, a.path)
+        print(json.dumps({"pack": c.pack, "compact": lambda: {"rows_saved": c.compact()}, "stats": lambda: c.stats() | c.cell_stats(), "validate": lambda: {"valid": c.validate() is None}}[a.command]()))
     elif a.command == "bench":
         c, q = Collection.open(spark, a.path), _vectors(spark, a.queries).select(F.col("id").alias("qid"), F.col("v").alias("q"))
         began = time.perf_counter()
@@ -82,7 +87,16 @@ def main(argv: list[str] | None = None) -> int:
         print(json.dumps({"rows": n, "seconds": round(time.perf_counter() - began, 3)}))
     elif a.command == "calibrate":
         c = Collection.open(spark, a.path)
-        print(C.autocalibrate(measure_with(spark, c, a.workload), (8, 100), (a.max_probes, 2000), a.target, c.fingerprint()).to_json())
+        queries, truth = read_workload(spark, a.workload)
+        measure, most = C.measure_collection(c, queries, truth), (a.max_probes, a.max_rerank)
+        if a.max_seconds is None and not a.checkpoint:
+            profile = C.autocalibrate(measure, (8, 100), most, a.target, c.fingerprint())
+        else:
+            kept = Path(a.checkpoint) if a.checkpoint else None
+            load, save = (lambda: kept.read_text() if kept and kept.exists() else None), (lambda t: kept and kept.write_text(t))
+            n = queries.where("partition = 'validation'").count()
+            profile = C.calibrate_snapshot(measure, (8, 100), most, a.target, c.fingerprint(), n, a.max_seconds, load=load, save=save)
+        print(profile.to_json())
     else:
         from .service import Service, serve
 

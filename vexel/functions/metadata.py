@@ -8,12 +8,13 @@ from __future__ import annotations
 
 import datetime as dt
 import re
-from collections.abc import Iterable, Mapping
+from collections.abc import Iterable, Iterator, Mapping
 from dataclasses import dataclass
 from functools import reduce
 from typing import Any
 
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Decimal exponents of the bucket keys, and the bound of numeric values.
@@ -116,10 +117,23 @@ def _any_between(values: Column, lo: int, hi: int) -> Column:
 OPERATORS = ("range", "re", "exists")
 
 
+def matching(rows: DataFrame, field: str, pattern: str, meta: str = "meta") -> list[str]:
+    """The distinct values of a field in which Python finds ``pattern``, searched on the executors. A filter that needs more than
+    ``MAX_FILTER_KEYS`` is refused, so no more than one above that come to the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = re.compile(pattern)
+        for b in batches:
+            yield b.filter(pa.array([found.search(v) is not None for v in b.column(0).to_pylist()], pa.bool_()))
+
+    values = rows.select(F.explode(F.col(meta)[field]).alias("v")).where("v is not null").distinct()
+    return [r.v for r in values.mapInArrow(run, "v string").limit(MAX_FILTER_KEYS + 1).collect()]
+
+
 def where(conditions: Mapping[str, Any] | None, values_of=None, specs: FloatSpecs | None = None, meta: str = "meta", nums: str = "nums") -> Column:
     """A predicate over ``meta`` and ``nums``: AND over fields of equality, membership (a list), ``("range", a, b)``,
-    ``("exists",)`` or ``("re", pattern)``. ``values_of(field)`` gives the distinct values of a field for expressions, which keep
-    Python's semantics by running over that dictionary. An empty list matches nothing; no condition matches all."""
+    ``("exists",)`` or ``("re", pattern)``. ``values_of(field, pattern)`` gives the values of a field that an expression matches (see
+    ``matching``). An empty list matches nothing; no condition matches all."""
     terms, count = [], 0
     for field, cond in (conditions or {}).items():
         check_field(field)
@@ -134,8 +148,8 @@ def where(conditions: Mapping[str, Any] | None, values_of=None, specs: FloatSpec
                 continue
             if values_of is None:
                 raise ValueError("an expression needs the field's values")
-            pattern = re.compile(cond[1])
-            options = [v for v in values_of(field) if pattern.search(v)]
+            re.compile(cond[1])
+            options = values_of(field, cond[1])
         else:
             options = [canonical(field, v, specs) for v in (cond if isinstance(cond, (list, tuple)) else [cond])]
         count += len(options)

@@ -1,12 +1,14 @@
 """The cell-partitioned index: anchors, multi-assignment with spill, routing, probing, rerank and their counters.
 
-Cells (anchor, centre) are few and bounded by ``CELL_BYTES``; they go to every task as a matrix. Assignments and codes
-are long tables laid out by cell, so that a probe join prunes on it.
+Cells (anchor, centre) go to the tasks as int8 matrices of at most ``CELL_BYTES``. A larger cell table is dealt into blocks: each
+block keeps the best cells of a row in a narrow pass, and the blocks' best are merged. Assignments and codes are long tables laid
+out by cell, so that a probe join prunes on it.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +18,9 @@ from pyspark.sql import functions as F
 from ..functions import vectors as V
 from .topk import rank
 
-CELL_BYTES = 512 << 20
+CELL_BYTES = 64 << 20
+#: Cells scored at once by a task.
+STRIP = 4096
 
 
 def anchor_ids(n: int, k: int, seed: int) -> list[int]:
@@ -31,57 +35,143 @@ def anchor_ids(n: int, k: int, seed: int) -> list[int]:
 
 def cells(vectors: DataFrame, ids: list[int], id_col: str = "id", vec_col: str = "v") -> DataFrame:
     """(cell, v, q8, top): anchors in the order of ``ids``; all share one quantisation scale."""
-    order = F.create_map(*(F.lit(x) for i, a in enumerate(ids) for x in (a, i)))
-    rows = vectors.where(F.col(id_col).isin(ids)).select(order[F.col(id_col).cast("int")].alias("cell"), V.unit(V.doubles(vec_col)).alias("v"))
+    anchors = vectors.sparkSession.createDataFrame(list(enumerate(ids)), f"cell int, `{id_col}` long")
+    rows = vectors.select(F.col(id_col).cast("long").alias(id_col), vec_col).join(anchors, id_col).select("cell", V.unit(V.doubles(vec_col)).alias("v"))
     top = rows.agg(F.max(V.largest(F.col("v"))).alias("top"))
     return rows.crossJoin(F.broadcast(top)).select("cell", "v", V.quantize_i8(F.col("v"), F.col("top")).alias("q8"), "top")
 
 
-def cell_matrix(cells_df: DataFrame) -> tuple[np.ndarray, np.ndarray, float]:
-    """(cell numbers, int8 rows as doubles, shared scale) on the driver; refuses tables above ``CELL_BYTES``."""
-    rows = cells_df.select("cell", "q8", "top").orderBy("cell")
-    size = rows.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("q8")).alias("d")).first()
-    if (size.n or 0) * (size.d or 0) * 8 > CELL_BYTES:
-        raise ValueError("the cell table exceeds CELL_BYTES: deal the cells into blocks")
-    got = rows.collect()
-    return np.array([r.cell for r in got], np.int32), np.array([r.q8 for r in got], np.float64), 127.0 / ((got[0].top if got else 1.0) + 1e-9)
-
-
-def assign(vectors: DataFrame, cells_df: DataFrame, m: int, id_col: str = "id", vec_col: str = "v") -> DataFrame:
-    """(id, slot, cell, d2): the ``m`` best cells by int8 product; d2 = 2 - 2 cos of the quantised pair. One narrow pass."""
+def cell_blocks(cells_df: DataFrame, limit: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, float]]:
+    """(cell numbers, int8 rows, shared scale) in the order of cells, streamed in blocks of at most ``limit`` bytes."""
+    numbers, rows, size, scale = [], [], 0, 127.0
+    for r in cells_df.select("cell", "q8", "top").orderBy("cell").toLocalIterator():
+        numbers.append(r.cell)
+        rows.append(np.asarray(r.q8, np.int8))
+        size, scale = size + len(r.q8), 127.0 / (r.top + 1e-9)
+        if size + len(r.q8) > (limit or CELL_BYTES):
+            yield np.array(numbers, np.int32), np.array(rows), scale
+            numbers, rows, size = [], [], 0
+    if numbers:
+        yield np.array(numbers, np.int32), np.array(rows), scale
+
+
+def _top(s: np.ndarray, m: int) -> np.ndarray:
+    """Positions of the ``m`` best of each row, the first of equals first."""
+    if s.shape[1] <= max(64, 2 * m):
+        return np.argsort(-s, axis=1, kind="stable")[:, :m]
+    cut = np.partition(s, s.shape[1] - m, axis=1)[:, s.shape[1] - m]
+    out = np.empty((len(s), m), np.int64)
+    for i, row in enumerate(s):
+        some = np.flatnonzero(row >= cut[i])
+        out[i] = some[np.argsort(-row[some], kind="stable")[:m]]
+    return out
+
+
+def best_of(v8: np.ndarray, numbers: np.ndarray, a8: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
+    """(products, cell numbers) of the ``m`` best cells of each row of quantised vectors, strip by strip."""
+    held_s, held_c = np.zeros((len(v8), 0)), np.zeros((len(v8), 0), np.int32)
+    for at in range(0, len(a8), STRIP):
+        s = np.hstack((held_s, v8 @ a8[at : at + STRIP].astype(np.float64).T))  # exact: products of small integers
+        c = np.hstack((held_c, np.broadcast_to(numbers[at : at + STRIP], (len(v8), len(numbers[at : at + STRIP])))))
+        top = _top(s, min(m, s.shape[1]))
+        held_s, held_c = np.take_along_axis(s, top, 1), np.take_along_axis(c, top, 1)
+    return held_s, held_c
+
+
+def best_cells(rows: DataFrame, cells_df: DataFrame, m: int, quantised: bool = False, limit: int | None = None) -> DataFrame:
+    """(id, slot, cell, s, d2) of rows (id, v): the ``m`` best cells by int8 product, the first of equals first; d2 = 2 - 2 cos of the
+    quantised pair. ``quantised``: v holds int8 values already. One narrow pass a block of cells; only several blocks are shuffled."""
+    spark = rows.sparkSession
+    rows = rows.select(F.col("id").cast("long").alias("id"), V.doubles("v").alias("v"))
+    parts = []
+    for block in cell_blocks(cells_df, limit):
+        shared = spark.sparkContext.broadcast(block)
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            numbers, a8, aq = shared.value
+            for b in batches:
+                for at in range(0, b.num_rows, 1024):
+                    t = b.slice(at, 1024)
+                    v = V.matrix(t.column(1))
+                    if quantised:
+                        vq, v8 = np.ones(len(v)), v
+                    else:
+                        v = V.unit_rows(v)
+                        vq = 127.0 / (np.abs(v).max(1) + 1e-9)
+                        v8 = np.rint(v * vq[:, None])
+                    s, c = best_of(v8, numbers, a8, m)
+                    n = s.shape[1]
+                    d2 = 2.0 - 2.0 * s / (vq[:, None] * aq)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(t.column(0).to_numpy(), n)), pa.array(np.tile(np.arange(n, dtype=np.int32), len(v))), pa.array(c.ravel().astype(np.int32)), pa.array(s.ravel().astype(np.int64)), pa.array(d2.ravel())], ["id", "slot", "cell", "s", "d2"])
+
+        parts.append(rows.mapInArrow(run, "id long, slot int, cell int, s long, d2 double"))
+    if not parts:
+        return spark.createDataFrame([], "id long, slot int, cell int, s long, d2 double")
+    if len(parts) == 1:
+        return parts[0]
+    merged = rank(reduce(DataFrame.unionAll, parts), m, "s", "id", "cell")
+    return merged.select("id", (F.col("rank") - 1).cast("int").alias("slot"), "cell", "s", "d2")
+
+
+def assign(vectors: DataFrame, cells_df: DataFrame, m: int, id_col: str = "id", vec_col: str = "v", limit: int | None = None) -> DataFrame:
+    """(id, slot, cell, d2): the ``m`` best cells of each vector."""
     if not 1 <= m <= 4:
         raise ValueError("m lies in 1..4")
-    shared = vectors.sparkSession.sparkContext.broadcast(cell_matrix(cells_df))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers, a8, aq = shared.value
-        for b in batches:
-            if not b.num_rows:
-                continue
-            v = V.unit_rows(V.matrix(b.column(1)))
-            vq = 127.0 / (np.abs(v).max(1) + 1e-9)
-            s = np.rint(v * vq[:, None]) @ a8.T  # exact: products of small integers
-            top = np.argsort(-s, axis=1, kind="stable")[:, :m]
-            n = top.shape[1]
-            d2 = 2.0 - 2.0 * np.take_along_axis(s, top, 1) / (vq[:, None] * aq)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(0).to_numpy(), n)), pa.array(np.tile(np.arange(n, dtype=np.int32), len(v))), pa.array(numbers[top].ravel()), pa.array(d2.ravel())], ["id", "slot", "cell", "d2"])
+    return best_cells(vectors.select(F.col(id_col).alias("id"), F.col(vec_col).alias("v")), cells_df, m, limit=limit).select("id", "slot", "cell", "d2")
 
-    return vectors.select(F.col(id_col).cast("long").alias("id"), V.doubles(vec_col).alias("v")).mapInArrow(run, "id long, slot int, cell int, d2 double")
 
-
-def neighbours(old: DataFrame, new: DataFrame, n: int) -> DataFrame:
+def neighbours(old: DataFrame, new: DataFrame, n: int, limit: int | None = None) -> DataFrame:
     """(old, cell): of each old cell the ``n`` nearest new ones (both tables are cells)."""
-    pairs = old.select(F.col("cell").alias("old"), F.col("q8").alias("a")).crossJoin(F.broadcast(new.select("cell", "q8")))
-    return rank(pairs.select("old", "cell", V.dot_i8(F.col("a"), F.col("q8")).alias("s")), n, "s", "old", "cell").select("old", "cell")
-
-
-def assign_through(vectors: DataFrame, old_assign: DataFrame, near: DataFrame, new: DataFrame, m: int) -> DataFrame:
-    """Hierarchical assignment: only the new cells near a vector's old cells are scored."""
-    cand = old_assign.select("id", F.col("cell").alias("old")).join(F.broadcast(near), "old").select("id", "cell").distinct()
-    v = vectors.select("id", V.unit(V.doubles("v")).alias("v")).select("id", "v", V.quantize_i8(F.col("v")).alias("v8"), (F.lit(127.0) / (V.largest(F.col("v")) + F.lit(1e-9))).alias("vq"))
-    s = cand.join(v, "id").join(F.broadcast(new.select("cell", "q8", "top")), "cell")
-    s = s.withColumn("s", V.dot_i8(F.col("v8"), F.col("q8"))).withColumn("d2", F.lit(2.0) - F.lit(2.0) * F.col("s") / (F.col("vq") * (F.lit(127.0) / (F.col("top") + F.lit(1e-9)))))
-    return rank(s, m, "s", "id", "cell").select("id", (F.col("rank") - 1).cast("int").alias("slot"), "cell", "d2")
+    return best_cells(old.select(F.col("cell").alias("id"), F.col("q8").alias("v")), new, n, True, limit).select(F.col("id").cast("int").alias("old"), "cell")
+
+
+def assign_through(vectors: DataFrame, old: DataFrame, near: DataFrame, new: DataFrame, m: int, limit: int | None = None) -> DataFrame:
+    """(id, slot, cell, d2): hierarchical assignment. A vector goes to its ``m`` best old cells, and only the new cells near these are
+    scored. The old cells are the small level: they and the lists of near ones go to every task, the new ones block by block."""
+    spark = vectors.sparkSession
+    rows = vectors.select(F.col("id").cast("long").alias("id"), V.doubles("v").alias("v"))
+    roots = list(cell_blocks(old, limit))
+    if not roots:
+        return spark.createDataFrame([], "id long, slot int, cell int, d2 double")
+    if len(roots) > 1:
+        raise ValueError("the coarse level fits in one block: take fewer coarse cells")
+    lists: dict[int, list[int]] = {}
+    for r in near.orderBy("old", "cell").toLocalIterator():  # coarse cells x neighbours
+        lists.setdefault(r.old, []).append(r.cell)
+    parts = []
+    for block in cell_blocks(new, limit):
+        mine = {o: np.flatnonzero(np.isin(block[0], c)) for o, c in lists.items()}
+        shared = spark.sparkContext.broadcast((roots[0], block, mine))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            (roots8, r8, _), (numbers, a8, aq), mine = shared.value
+            for b in batches:
+                for at in range(0, b.num_rows, 1024):
+                    t = b.slice(at, 1024)
+                    v = V.unit_rows(V.matrix(t.column(1)))
+                    vq = 127.0 / (np.abs(v).max(1) + 1e-9)
+                    v8 = np.rint(v * vq[:, None])
+                    _, up = best_of(v8, roots8, r8, m)
+                    held: list[list[tuple[float, int]]] = [[] for _ in v]
+                    for o in np.unique(up):
+                        to, who = mine.get(int(o), np.zeros(0, np.int64)), np.flatnonzero((up == o).any(1))
+                        if len(to):
+                            s = v8[who] @ a8[to].astype(np.float64).T
+                            top = _top(s, min(m, len(to)))
+                            for i, w in enumerate(who.tolist()):
+                                held[w] += zip((-s[i, top[i]]).tolist(), numbers[to[top[i]]].tolist())
+                    found = [sorted(set(h))[:m] for h in held]
+                    n = [len(f) for f in found]
+                    s = np.array([-x for f in found for x, _ in f], np.float64)
+                    who = np.repeat(np.arange(len(v)), n)
+                    d2 = 2.0 - 2.0 * s / (vq[who] * aq)
+                    yield pa.RecordBatch.from_arrays([t.column(0).take(pa.array(who)), pa.array(np.concatenate([np.arange(x, dtype=np.int32) for x in n] or [np.zeros(0, np.int32)])), pa.array(np.array([c for f in found for _, c in f], np.int32)), pa.array(s.astype(np.int64)), pa.array(d2)], ["id", "slot", "cell", "s", "d2"])
+
+        parts.append(rows.mapInArrow(run, "id long, slot int, cell int, s long, d2 double"))
+    if len(parts) > 1:
+        merged = rank(reduce(DataFrame.unionAll, parts), m, "s", "id", "cell")
+        return merged.select("id", (F.col("rank") - 1).cast("int").alias("slot"), "cell", "d2")
+    return parts[0].select("id", "slot", "cell", "d2") if parts else spark.createDataFrame([], "id long, slot int, cell int, d2 double")
 
 
 def spill(assigned: DataFrame, eps: float) -> DataFrame:
@@ -99,11 +189,10 @@ def histogram(assigned: DataFrame, k: int, entry_bytes: int) -> DataFrame:
     return all_cells.withColumn("offset", F.coalesce(F.sum("n").over(w), F.lit(0)) * entry_bytes)
 
 
-def route(queries: DataFrame, cells_df: DataFrame, nprobe: int) -> DataFrame:
+def route(queries: DataFrame, cells_df: DataFrame, nprobe: int, limit: int | None = None) -> DataFrame:
     """(qid, rank, cell, s): the ``nprobe`` best cells of each query by int8 product."""
-    q = queries.select("qid", V.quantize_i8(V.unit(V.doubles("q"))).alias("q8q"))
-    pairs = q.crossJoin(F.broadcast(cells_df.select("cell", "q8"))).select("qid", "cell", V.dot_i8(F.col("q8q"), F.col("q8")).alias("s"))
-    return rank(pairs, nprobe, "s", "qid", "cell").select("qid", "rank", "cell", "s")
+    found = best_cells(queries.select(F.col("qid").alias("id"), F.col("q").alias("v")), cells_df, nprobe, limit=limit)
+    return found.select(F.col("id").alias("qid"), (F.col("slot") + 1).cast("int").alias("rank"), "cell", "s")
 
 
 def adaptive_probes(routed: DataFrame, minimum: int, gap: float, maximum: int) -> DataFrame:
@@ -126,7 +215,7 @@ def adaptive_probes(routed: DataFrame, minimum: int, gap: float, maximum: int) -
 def byte_budget(routed: DataFrame, sizes: DataFrame, budget: int) -> DataFrame:
     """(qid, rank, cell, budget_limited): probes by rank while their bytes fit; the first is always read."""
     w = Window.partitionBy("qid").orderBy("rank")
-    cum = routed.join(F.broadcast(sizes.select("cell", "bytes")), "cell").withColumn("cum", F.sum("bytes").over(w))
+    cum = routed.join(sizes.select("cell", "bytes"), "cell").withColumn("cum", F.sum("bytes").over(w))
     ok = (F.col("rank") == 1) | (F.col("cum") <= budget)
     every = Window.partitionBy("qid")
     return cum.withColumn("budget_limited", F.max((~ok).cast("int")).over(every) == 1).where(ok).select("qid", "rank", "cell", "budget_limited")
@@ -140,7 +229,7 @@ def probe(probes: DataFrame, entries: DataFrame) -> DataFrame:
 def rerank(candidates: DataFrame, vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """(qid, rank, id, score): distinct candidates scored by exact cosine."""
     c = candidates.select("qid", "id").distinct().join(vectors.select("id", V.unit(V.doubles("v")).alias("v")), "id")
-    c = c.join(F.broadcast(queries.select("qid", V.unit(V.doubles("q")).alias("q"))), "qid")
+    c = c.join(queries.select("qid", V.unit(V.doubles("q")).alias("q")), "qid")
     return rank(c.select("qid", "id", V.dot(F.col("q"), F.col("v")).alias("score")), k).select("qid", "rank", "id", "score")
 
 

@@ -29,12 +29,11 @@ class Folded:
 def idempotent_inserts(log: DataFrame, base_n: int) -> DataFrame:
     """(seq, token, digest, vsrc, tag, outcome, id): the first row of a token inserts and gets the next id; later ones with its
     digest are replays that return that id, others are conflicts. Rows without a token always insert."""
-    w = Window.partitionBy("token").orderBy("seq")
     rows = log.where(F.col("op") == "insert")
-    keyed = rows.where("token is not null").withColumns({"k": F.row_number().over(w), "d0": F.first("digest").over(w), "s0": F.first("seq").over(w)})
-    free = rows.where("token is null").withColumns({"k": F.lit(1), "d0": F.col("digest"), "s0": F.col("seq")})
-    seen = keyed.unionByName(free).withColumn("outcome", F.when(F.col("k") == 1, "insert").when(F.col("digest").eqNullSafe(F.col("d0")), "replay").otherwise("conflict"))
-    ids = allocate(seen.where("k = 1").select(F.col("seq").alias("s0")), "s0", base_n)
+    first = rows.where("token is not null").groupBy("token").agg(F.min("seq").alias("s0"), F.min_by("digest", "seq").alias("d0"))
+    seen = rows.join(first, "token", "left").withColumns({"new": F.col("token").isNull() | (F.col("seq") == F.col("s0")), "s0": F.coalesce("s0", "seq")})
+    seen = seen.withColumn("outcome", F.when(F.col("new"), "insert").when(F.col("digest").eqNullSafe(F.col("d0")), "replay").otherwise("conflict"))
+    ids = allocate(seen.where("new").select("s0"), "s0", base_n)
     return seen.join(ids, "s0").select("seq", "token", "digest", "vsrc", "tag", "outcome", F.when(F.col("outcome") != "conflict", F.col("new_id")).alias("id"))
 
 

@@ -7,6 +7,7 @@ list while it is short, else a semi-join), and a task keeps the best entries of
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import codes as C
 from ..functions import vectors as V
+from ..plans.store import settle
 from . import ivf
 from .topk import RESULT, best, query_blocks, rank
 
@@ -23,11 +25,11 @@ CODES = "cell int, id long, beta double, gain double, code binary"
 IN_LIST = 1024
 
 
-def centres(cells_df: DataFrame, dim: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """(unit int8 centres, their rotations), padded to ``dim``."""
-    _, a8, _ = ivf.cell_matrix(cells_df)
+def centres(a8: np.ndarray, dim: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """(unit rows of int8 centres, their rotations), padded to ``dim``."""
     a = np.zeros((len(a8), dim))
-    a[:, : a8.shape[1] if len(a8) else 0] = V.unit_rows(a8) if len(a8) else 0
+    if len(a8):
+        a[:, : a8.shape[1]] = V.unit_rows(a8.astype(np.float64))
     return a, V.rotate_rows(a, seed) if len(a) else a
 
 
@@ -47,69 +49,74 @@ def _padded(v: np.ndarray, dim: int) -> np.ndarray:
 
 
 def encode(assigned: DataFrame, vectors: DataFrame, cells_df: DataFrame, seed: int, dim: int, bits: int | None = None) -> DataFrame:
-    """(cell, id, beta, gain, code) of every assignment; ``dim`` is the padded dimension."""
+    """(cell, id, beta, gain, code) of every assignment; ``dim`` is the padded dimension. Centres reach their rows by a join on cell."""
     bits = bits or C.residual_bits(dim)
-    shared = vectors.sparkSession.sparkContext.broadcast(centres(cells_df, dim, seed))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, ar = shared.value
         for b in batches:
             if not b.num_rows:
                 continue
-            cell = b.column(0).to_numpy()
+            _, first, of = np.unique(b.column(0).to_numpy(), return_index=True, return_inverse=True)
+            a, ar = centres(V.matrix(b.column(3).take(pa.array(first))), dim, seed)
             v = _padded(V.unit_rows(V.matrix(b.column(2))), dim)
-            beta, gain, u = encode_rows(v, V.rotate_rows(v, seed), a[cell], ar[cell], bits)
+            beta, gain, u = encode_rows(v, V.rotate_rows(v, seed), a[of], ar[of], bits)
             if not np.isfinite(gain).all() or (gain > C.GAIN_MAX).any():
                 raise ValueError("a gain is out of range")
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(beta), pa.array(gain), pa.array([x.tobytes() for x in u], pa.binary())], ["cell", "id", "beta", "gain", "code"])
 
-    rows = assigned.select("cell", "id").join(vectors.select("id", V.doubles("v").alias("v")), "id").select("cell", "id", "v")
-    return rows.mapInArrow(run, CODES)
+    rows = assigned.select("cell", "id").join(vectors.select("id", V.doubles("v").alias("v")), "id")
+    return rows.join(cells_df.select("cell", "q8"), "cell").select("cell", "id", "v", "q8").mapInArrow(run, CODES)
 
 
-def score(probes: DataFrame, codes: DataFrame, queries: DataFrame, cells_df: DataFrame, seed: int, dim: int, keep: int, bits: int | None = None) -> DataFrame:
-    """(qid, id, score): the ``keep`` best entries of each query and task among the cells it probes; rounded before ranking."""
-    bits, cd = bits or C.residual_bits(dim), C.residual_dims(dim)
-    levels, spark = (1 << bits) - 1, codes.sparkSession
-    a, ar = centres(cells_df, dim, seed)
-    out = None
-    for qids, q in query_blocks(queries):
-        mine: dict[int, list[int]] = {}
+def score(probes: DataFrame, codes: DataFrame, queries: DataFrame, cells_df: DataFrame, seed: int, dim: int, keep: int, bits: int | None = None, limit: int | None = None) -> DataFrame:
+    """(qid, id, score): the ``keep`` best entries of each query and task among the cells it probes; rounded before ranking.
+
+    Probes are laid out by query once. A pass takes a block of queries and a block of cells, each of bounded bytes, and reads the
+    codes of those cells alone.
+    """
+    bits, cd, spark = bits or C.residual_bits(dim), C.residual_dims(dim), codes.sparkSession
+    levels = (1 << bits) - 1
+    laid = settle(probes.select("qid", "cell").repartitionByRange("qid").sortWithinPartitions("qid"), "probes")
+    parts = []
+    for qids, q in query_blocks(queries.orderBy("qid")):
+        ours = laid.where(F.col("qid").between(int(qids[0]), int(qids[-1])))
         place = {int(x): i for i, x in enumerate(qids)}
-        for r in probes.select("qid", "cell").toLocalIterator():
-            if r.qid in place:
-                mine.setdefault(r.cell, []).append(place[r.qid])
-        cells = sorted(mine)
-        if len(cells) <= IN_LIST:
-            rows = codes.where(F.col("cell").isin(cells))
-        else:
-            rows = codes.join(spark.createDataFrame([(c,) for c in cells], "cell int"), "cell", "left_semi")
+        wanted = cells_df.join(ours.select("cell").distinct(), "cell", "left_semi")
         qp = _padded(q, dim)
-        shared = spark.sparkContext.broadcast((qids, qp, V.rotate_rows(qp, seed), mine, a, ar))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            qids, qp, rq, mine, a, ar = shared.value
-            held_s, held_i = [np.zeros(0)] * len(qids), [np.zeros(0, np.int64)] * len(qids)
-            for b in batches:
-                cell, ids = b.column(0).to_numpy(), b.column(1).to_numpy()
-                beta, gain = b.column(2).to_numpy(), b.column(3).to_numpy()
-                for c in np.unique(cell):
-                    at, which = np.flatnonzero(cell == c), np.array(mine[int(c)])
-                    u = np.frombuffer(b"".join(b.column(4).take(pa.array(at)).to_pylist()), np.uint8).reshape(len(at), -1).astype(np.float64)
-                    qa = qp[which] @ a[c]
-                    w = (rq[which] - qa[:, None] * ar[c])[:, :cd]
-                    top = np.abs(w).max(1, keepdims=True)
-                    q8 = np.rint(w / (top + 1e-9) * 127.0)
-                    s = np.round((q8 @ (2 * u - levels).T) * (top / 127.0) * gain[at] + qa[:, None] * beta[at], 9)
-                    for n, k in enumerate(which):
-                        x, y = np.concatenate((held_s[k], s[n])), np.concatenate((held_i[k], ids[at]))
-                        t = best(x, y, keep)
-                        held_s[k], held_i[k] = x[t], y[t]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qids, [len(x) for x in held_i])), pa.array(np.concatenate(held_i)), pa.array(np.concatenate(held_s))], ["qid", "id", "score"])
-
-        part = rows.select("cell", "id", "beta", "gain", "code").mapInArrow(run, RESULT)
-        out = part if out is None else out.unionAll(part)
-    return out if out is not None else spark.createDataFrame([], RESULT)
+        for numbers, a8, _ in ivf.cell_blocks(wanted, limit):
+            mine: dict[int, list[int]] = {}
+            for r in ours.where(F.col("cell").between(int(numbers[0]), int(numbers[-1]))).toLocalIterator():
+                if r.qid in place:
+                    mine.setdefault(r.cell, []).append(place[r.qid])
+            if len(numbers) <= IN_LIST:
+                rows = codes.where(F.col("cell").isin(numbers.tolist()))
+            else:
+                rows = codes.join(spark.createDataFrame([(c,) for c in numbers.tolist()], "cell int"), "cell", "left_semi")
+            shared = spark.sparkContext.broadcast((qids, qp, V.rotate_rows(qp, seed), mine, numbers, a8))
+
+            def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+                qids, qp, rq, mine, numbers, a8 = shared.value
+                held_s, held_i = [np.zeros(0)] * len(qids), [np.zeros(0, np.int64)] * len(qids)
+                for b in batches:
+                    cell, ids = b.column(0).to_numpy(), b.column(1).to_numpy()
+                    beta, gain = b.column(2).to_numpy(), b.column(3).to_numpy()
+                    for c in np.unique(cell):
+                        at, which = np.flatnonzero(cell == c), np.array(mine[int(c)])
+                        a, ar = centres(a8[np.searchsorted(numbers, c)][None], dim, seed)
+                        u = np.frombuffer(b"".join(b.column(4).take(pa.array(at)).to_pylist()), np.uint8).reshape(len(at), -1).astype(np.float64)
+                        qa = qp[which] @ a[0]
+                        w = (rq[which] - qa[:, None] * ar)[:, :cd]
+                        top = np.abs(w).max(1, keepdims=True)
+                        q8 = np.rint(w / (top + 1e-9) * 127.0)
+                        s = np.round((q8 @ (2 * u - levels).T) * (top / 127.0) * gain[at] + qa[:, None] * beta[at], 9)
+                        for n, k in enumerate(which):
+                            x, y = np.concatenate((held_s[k], s[n])), np.concatenate((held_i[k], ids[at]))
+                            t = best(x, y, keep)
+                            held_s[k], held_i[k] = x[t], y[t]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qids, [len(x) for x in held_i])), pa.array(np.concatenate(held_i)), pa.array(np.concatenate(held_s))], ["qid", "id", "score"])
+
+            parts.append(rows.select("cell", "id", "beta", "gain", "code").mapInArrow(run, RESULT))
+    return reduce(DataFrame.unionAll, parts) if parts else spark.createDataFrame([], RESULT)
 
 
 def candidates(probes: DataFrame, codes: DataFrame, queries: DataFrame, cells_df: DataFrame, seed: int, dim: int, rerank: int, m: int, bits: int | None = None) -> DataFrame:

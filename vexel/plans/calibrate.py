@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import hashlib
 import json
 import math
+import time
 from collections.abc import Callable, Sequence
 from dataclasses import asdict, dataclass, field
 from typing import Any
@@ -12,6 +12,8 @@ from typing import Any
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .store import settle
+
 
 def latency_summary(df: DataFrame, col: str) -> DataFrame:
     """One row: mean, p50 and p95 with linear interpolation."""
@@ -43,12 +45,46 @@ def smallest_sample(target: float, delta: float = 0.05, most: int = 1_000_000) -
     return n if n <= most else None
 
 
-def halves(queries: DataFrame, group: str | None = None) -> DataFrame:
-    """``queries`` with ``partition``: even occurrences of each predicate group train, odd ones validate."""
-    w = Window.partitionBy(group or F.lit(0)).orderBy("qid")
+def halves(queries: DataFrame, group: str) -> DataFrame:
+    """``queries`` with ``partition``: of each predicate group the even occurrences train, the odd ones validate."""
+    w = Window.partitionBy(group).orderBy("qid")
     return queries.withColumn("partition", F.when((F.row_number().over(w) - 1) % 2 == 0, "train").otherwise("validation"))
 
 
+#: Queries for which a calibration traces where neighbours are lost.
+TRACE = 64
+
+
+def measure_collection(collection: Any, queries: DataFrame, truth: DataFrame) -> Measure:
+    """A measure of a frozen collection without a log, for queries (qid, q, partition[, grp]) and their true neighbours (qid, rank, id).
+
+    The partitions are ``train`` (or ``calibration``) and ``validation``. A group of related queries lies in one of them, as
+    validation would not be independent otherwise. Recall counts over all queries of a partition; routing losses over ``TRACE``.
+    """
+    if collection.m["logs"] or not collection.m["index"]:
+        raise ValueError("only a frozen index can be calibrated: compact it first")
+    queries = queries.withColumn("partition", F.when(F.col("partition") == "calibration", "train").otherwise(F.col("partition")))
+    if "grp" in queries.columns and queries.where("grp <> ''").groupBy("grp").agg(F.countDistinct("partition").alias("n")).where("n > 1").limit(1).count():
+        raise ValueError("a group of queries lies in both partitions")
+    k = truth.agg(F.max("rank")).first()[0]
+
+    def measure(part: str, nprobe: int, rerank: int) -> Measurement:
+        from .collection import SearchParams
+
+        p = SearchParams(nprobe, max(rerank, k), exact_limit=0)
+        q = queries.where(F.col("partition") == part).select("qid", "q")
+        began = time.perf_counter()
+        found = settle(collection.search(q, k, params=p).select("qid", "id", F.lit(1).alias("hit")), "found")
+        seconds = time.perf_counter() - began
+        t = truth.join(q.select("qid"), "qid", "left_semi").join(found, ["qid", "id"], "left")
+        recalls = [r.r for r in t.groupBy("qid").agg((F.count("hit") / F.lit(float(k))).alias("r")).collect()]
+        some = q.orderBy("qid").limit(TRACE)
+        lost = collection.diagnose(some, k, p, truth.join(some.select("qid"), "qid", "left_semi")).agg(F.sum("watched").alias("w"), F.sum("routed").alias("r")).first()
+        return Measurement(nprobe, rerank, recalls, seconds, (lost.r or 0) / max(lost.w or 0, 1))
+
+    return measure
+
+
 @dataclass
 class Measurement:
     nprobe: int
@@ -161,7 +197,3 @@ def calibrate_snapshot(measure: Measure, start: tuple[int, int], most: tuple[int
     if max_seconds is not None and seconds > max_seconds:
         return Profile(fingerprint, conf, "latency_tradeoff", state["done"], True)
     return Profile(fingerprint, conf, "validated", state["done"], True)
-
-
-def fingerprint(parts: Sequence[str]) -> str:
-    return hashlib.sha256("\n".join(parts).encode()).hexdigest()

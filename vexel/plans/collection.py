@@ -1,9 +1,12 @@
 """A collection: versions of Parquet tables behind one manifest, with search, mutations, splits, packing, compaction and backups.
 
-Tables of a version: ``frozen`` (id, v) and its cells and assignments if an index was built; ``log``, the mutations since the last
-compaction; ``base``, what compaction folded (id, v, meta, nums, deleted); ``live cells`` as centres in the manifest and entries.
-Every write makes new tables and publishes manifest N + 1; a second writer of N + 1 fails. The writer's batches are bounded, so what a
-call brings to the driver (ids of a batch, cells, counters) is bounded too; vectors and metadata stay in tables.
+Tables of a version: ``frozen`` (id, v) and its cells, assignments and codes if an index was built; ``log``, the mutations since the
+last compaction; ``base``, what compaction folded (id, v, meta, nums, deleted); ``centres``, entries and codes of the live cells.
+Every write makes new tables and publishes manifest N + 1; a second writer of N + 1 fails. Calls with Python lists are bounded, and
+their forms with frames keep rows on the executors; what a call brings to the driver are cells, counters and a batch's ids.
+
+A search leaves the base as it is: what the log touches is folded once a version into a small table, base rows are anti-joined with
+its ids, cells are probed first, and vectors are read for candidates only.
 """
 
 from __future__ import annotations
@@ -11,23 +14,29 @@ from __future__ import annotations
 import hashlib
 import json
 import math
-from collections.abc import Iterable, Mapping, Sequence
-from dataclasses import dataclass, replace
+from collections.abc import Iterable, Iterator, Mapping, Sequence
+from dataclasses import dataclass
+from functools import reduce
 from typing import Any
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import codes as C
 from ..functions import metadata as M
 from ..functions import vectors as V
-from ..operators import ivf, residual, split, topk
+from ..operators import ivf, residual, split, topk, transform
+from ..operators.live import allocate, merge
 from .store import Manifests, settle
 
 STATE = "id long, v array<double>, meta map<string,array<string>>, nums map<string,array<bigint>>, deleted boolean"
 LOG = "seq long, op string, id long, v array<double>, meta map<string,array<string>>, nums map<string,array<bigint>>, token string, digest string"
 ID_LIMIT = (1 << 32) - 1
 MAX_BATCH, MAX_BULK, EXACT_LIMIT = 100_000, 8192, 4096
+#: Entries above a new capacity that a cell may hold, and the seed of the live cells' codes.
+SCRATCH, LIVE_SEED = 512, 42
 
 
 class IdempotencyConflict(ValueError):
@@ -52,10 +61,15 @@ class SearchParams:
     filtered_minimum: int | None = None
     gap: float = 0.0
     code_bytes: int | None = None
+    top_k: int | None = None  # the most results that a calibrated profile answers for
+    max_bytes: int | None = None  # of the candidates of a batch
+    exact_limit: int = EXACT_LIMIT  # eligible rows up to which a search scores them all
 
     def __post_init__(self):
         if not 1 <= self.nprobe <= 1_000_000 or not 1 <= self.rerank <= 1_000_000:
             raise ValueError("nprobe and rerank lie in 1..1000000")
+        if (self.max_bytes is not None and self.max_bytes < 1) or (self.top_k is not None and self.top_k < 1):
+            raise ValueError("bounds are positive")
 
     @classmethod
     def default(cls, padded: int, cells: int, live_only: bool) -> SearchParams:
@@ -65,7 +79,7 @@ class SearchParams:
     def from_profile(cls, profile, fingerprint: str) -> SearchParams:
         if not profile.validated or profile.fingerprint != fingerprint:
             raise ValueError("the profile is not validated for this index")
-        return cls(profile.configuration["nprobe"], profile.configuration["rerank"])
+        return cls(profile.configuration["nprobe"], profile.configuration["rerank"], top_k=profile.configuration.get("top_k"))
 
 
 def payload_digest(v: Sequence[float], keys: Iterable[str]) -> str:
@@ -81,6 +95,7 @@ class Collection:
         self.manifests = Manifests(spark, path)
         self.m: dict[str, Any] = self.manifests.load(version)
         self._pinned = version is not None
+        self._fold: tuple[int, DataFrame] | None = None
 
     # ---- making and opening ----
 
@@ -93,13 +108,14 @@ class Collection:
         man = Manifests(spark, path)
         if man.files.exists():
             raise FileExistsError(path)
-        man.publish({"version": 1, "dim": dim, "capacity": capacity, "max_cells": max_cells, "base_n": 0, "frozen": None, "base": None, "logs": [], "entries": None, "centres": [], "splits": 0, "packed_seq": 0, "seq": 0, "count": 0, "index": None})
+        man.publish({"version": 1, "dim": dim, "capacity": capacity, "max_cells": max_cells, "base_n": 0, "frozen": None, "base": None, "logs": [], "entries": None, "centres": None, "live_codes": None, "splits": 0, "rewritten": 0, "packed_seq": 0, "seq": 0, "count": 0, "index": None})
         return cls(spark, path, float_specs=float_specs)
 
     @classmethod
-    def build_index(cls, spark: SparkSession, path: str, vectors: DataFrame, k: int, eps: float = 0.2, m: int = 3, seed: int = 42, nmax: int = 0, coarse: int = 0, neighbours: int = 64, float_specs: M.FloatSpecs | None = None) -> Collection:
+    def build_index(cls, spark: SparkSession, path: str, vectors: DataFrame, k: int, eps: float = 0.2, m: int = 3, seed: int = 42, nmax: int = 0, coarse: int = 0, neighbours: int = 64, float_specs: M.FloatSpecs | None = None, anchors: Sequence[int] | None = None) -> Collection:
         """A frozen index of ``vectors`` (id dense from 0, v) with ``k`` cells and up to ``m`` spilled assignments. With ``coarse`` cells a
-        vector is first assigned to these, and only the ``neighbours`` cells near its coarse ones are scored."""
+        vector is first assigned to these, and only the ``neighbours`` cells near its coarse ones are scored. ``anchors``: the ids of the
+        cells' vectors, instead of a seeded draw."""
         rows = vectors.select(F.col("id").cast("long").alias("id"), V.doubles("v").alias("v"))
         if nmax:
             rows = rows.where(F.col("id") < nmax)
@@ -111,11 +127,11 @@ class Collection:
         self = cls.create(spark, path, size.dim, float_specs=float_specs)
         frozen = self._save(rows.select("id", V.unit(F.col("v")).alias("v")), "frozen", "id")
         vec = spark.read.parquet(frozen)
-        cells = self._save(ivf.cells(vec, ivf.anchor_ids(size.n, k, seed)), "cells")
+        cells = self._save(ivf.cells(vec, list(anchors) if anchors is not None else ivf.anchor_ids(size.n, k, seed)), "cells")
         new = spark.read.parquet(cells)
         if coarse:
             old = ivf.cells(vec, ivf.anchor_ids(size.n, coarse, seed))
-            rough = ivf.assign_through(vec, ivf.assign(vec, old, m), ivf.neighbours(old, new, neighbours), new, m)
+            rough = ivf.assign_through(vec, old, ivf.neighbours(old, new, neighbours), new, m)
         else:
             rough = ivf.assign(vec, new, m)
         assigned = self._save(ivf.spill(rough, eps), "assigned", "cell")
@@ -123,17 +139,73 @@ class Collection:
         return self
 
     @classmethod
-    def open(cls, spark: SparkSession, path: str, version: int | None = None, float_specs: M.FloatSpecs | None = None) -> Collection:
-        return cls(spark, path, version, float_specs)
+    def open(cls, spark: SparkSession, path: str, version: int | None = None, float_specs: M.FloatSpecs | None = None, validate: bool = False) -> Collection:
+        self = cls(spark, path, version, float_specs)
+        codes_for = (self.m["index"] or {}).get("codes_for")
+        if codes_for is not None and codes_for != self._binding():
+            raise OSError("the codes belong to another index")
+        if validate:
+            self.validate()
+        return self
 
-    def build_residual(self) -> None:
-        """Residual codes of the frozen assignments: searches then cap candidates by code before the exact rerank."""
+    def validate(self) -> None:
+        """Read the tables of the frozen index and refuse what a search could not use."""
+        index = self.m["index"]
+        if not index:
+            return
+        cells, assigned = (self.spark.read.parquet(index[t]) for t in ("cells", "assigned"))
+        c = cells.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("cell").alias("cells"), F.min("cell").alias("low"), F.max("cell").alias("high"), F.min(F.size("q8")).alias("least"), F.max(F.size("q8")).alias("most"), F.min("top").alias("top"), F.max("top").alias("high_top")).first()
+        if (c.n, c.cells, c.low, c.high) != (index["k"], index["k"], 0, index["k"] - 1) or (c.least, c.most) != (self.m["dim"],) * 2 or not 0 < c.top <= c.high_top < math.inf:
+            raise OSError("the cell table is damaged")
+        a = assigned.agg(F.min("cell").alias("low"), F.max("cell").alias("high"), F.min("id").alias("first"), F.max("id").alias("last"), F.sum((F.col("slot") == 0).cast("int")).alias("n")).first()
+        if not (0 <= a.low <= a.high < index["k"] and a.first == 0 and a.last == self.m["base_n"] - 1 and a.n == self.m["base_n"]):
+            raise OSError("the assignments are damaged")
+        if index.get("codes"):
+            codes = self.spark.read.schema(residual.CODES).parquet(*index["codes"])
+            dim = C.residual_dims(V.padded_dim(self.m["dim"]))
+            bad = ~(F.col("gain").between(0, C.GAIN_MAX) & (F.abs("beta") <= 1.000001) & (F.octet_length("code") == dim)) | F.col("gain").isNull() | F.col("beta").isNull() | F.isnan("gain") | F.isnan("beta")
+            if codes.where(bad).limit(1).count() or codes.count() != assigned.count():
+                raise OSError("the codes are damaged")
+
+    def _binding(self) -> str:
+        """What codes are bound to: the assignments and parameters of the index they were made for."""
+        i = self.m["index"]
+        return hashlib.sha256(json.dumps([i["assigned"].rsplit("/", 1)[-1], i["cells"].rsplit("/", 1)[-1], i["k"], i["seed"], self.m["dim"], self.m["base_n"]]).encode()).hexdigest()
+
+    def _vectors_below(self, n: int) -> DataFrame:
+        return self.state().where(F.col("id") < n).select("id", "v")
+
+    def build_residual(self, ranges: int = 8) -> None:
+        """Residual codes of the frozen assignments: searches then cap candidates by code before the exact rerank.
+
+        Codes are written by ranges of cells to a folder named after what they are bound to; a build that broke goes on behind the
+        ranges that are complete, and a changed index starts another folder."""
         index = self.m["index"]
         if not index:
             raise ValueError("there is no frozen index")
         cells, assigned = (self.spark.read.parquet(index[t]) for t in ("cells", "assigned"))
-        codes = residual.encode(assigned, self.spark.read.parquet(self.m["frozen"]), cells, index["seed"], V.padded_dim(self.m["dim"]))
-        self._publish(index={**index, "codes": self._save(codes, "codes", "cell")})
+        folder = f"codes-{self._binding()[:32]}"
+        step = -(-index["k"] // ranges)
+        for low in range(0, index["k"], step):
+            part = f"{folder}/cells-{low}"
+            if not self.manifests.files.exists(f"{part}/_SUCCESS"):
+                some = F.col("cell").between(low, low + step - 1)
+                codes = residual.encode(assigned.where(some), self._vectors_below(self.m["base_n"]), cells.where(some), index["seed"], V.padded_dim(self.m["dim"]))
+                codes.repartitionByRange("cell").sortWithinPartitions("cell").write.mode("overwrite").parquet(f"{self.manifests.root}/{part}")
+        paths = [f"{self.manifests.root}/{folder}/cells-{low}" for low in range(0, index["k"], step)]
+        self._publish(index={**index, "codes": paths, "codes_for": self._binding()})
+
+    def build_transform(self, bits: int, cdim: int | None = None) -> None:
+        """Transform codes of 1, 2 or 4 bits over the first ``cdim`` rotated dimensions; searches use them where there are no residual codes."""
+        index, dim = self.m["index"], V.padded_dim(self.m["dim"])
+        if not index:
+            raise ValueError("there is no frozen index")
+        if cdim is not None and not 1 <= cdim <= dim:
+            raise ValueError("cdim lies in 1..padded dimension")
+        vec = self._vectors_below(self.m["base_n"])
+        scale = transform.scales(vec, bits, index["seed"], dim)[: cdim or dim]
+        codes = transform.encode(self.spark.read.parquet(index["assigned"]), vec, scale, bits, index["seed"], dim, cdim)
+        self._publish(index={**index, "transform": {"codes": self._save(codes, "transform", "cell"), "bits": bits, "scale": scale.tolist()}})
 
     def _save(self, df: DataFrame, name: str, by: str | None = None) -> str:
         path = self.manifests.table(name)
@@ -157,36 +229,55 @@ class Collection:
     def _base(self) -> DataFrame:
         if self.m["base"]:
             return self.spark.read.schema(STATE).parquet(self.m["base"])
-        empty = self.spark.createDataFrame([], STATE)
         if not self.m["frozen"]:
-            return empty
-        none = [F.lit(None).cast(t).alias(c) for c, t in (("meta", "map<string,array<string>>"), ("nums", "map<string,array<bigint>>"))]
+            return self.spark.createDataFrame([], STATE)
+        none = [F.expr(f"cast(map() as {t})").alias(c) for c, t in (("meta", "map<string,array<string>>"), ("nums", "map<string,array<bigint>>"))]
         return self.spark.read.parquet(self.m["frozen"]).select("id", "v", *none, F.lit(False).alias("deleted"))
 
-    def state(self) -> DataFrame:
-        """(id, v, meta, nums, deleted): base and log folded. Rows are checked before they enter the log, so the fold need not."""
+    def _touched(self) -> DataFrame:
+        """(id, v, meta, nums, deleted, moved) of the ids in the log: base rows and log folded, settled once a version.
+
+        Rows are checked before they enter the log, so the fold need not. Added values are pre-aggregated by (id, field, value).
+        """
+        if self._fold and self._fold[0] == self.m["version"]:
+            return self._fold[1]
         log = self._logs()
-        add = F.col("op") == "add"
+        whole = F.col("op").isin("insert", "update", "set")
         by_id = log.groupBy("id").agg(
             F.max_by("v", F.when(F.col("v").isNotNull(), F.col("seq"))).alias("nv"),
-            F.max(F.when(F.col("op").isin("insert", "update", "set"), F.col("seq"))).alias("reset"),
-            F.max_by(F.struct("meta", "nums"), F.when(F.col("op").isin("insert", "update", "set"), F.col("seq"))).alias("nm"),
-            F.collect_list(F.when(add, F.struct("seq", "meta", "nums"))).alias("adds"),
-            F.max((F.col("op") == "delete").cast("int")).alias("gone"),
+            F.max(F.when(whole, F.col("seq"))).alias("reset"),
+            F.max_by(F.struct("meta", "nums"), F.when(whole, F.col("seq"))).alias("nm"),
+            F.max(F.col("op") == "delete").alias("gone"),
+            F.max(F.col("v").isNotNull()).alias("moved"),
         )
-        both = self._base().join(by_id, "id", "full_outer")
-        old = F.struct("meta", "nums")
-        start = F.when(F.col("reset").isNotNull(), F.col("nm")).otherwise(old)
-        none = F.struct(F.expr("cast(map() as map<string,array<string>>)").alias("meta"), F.expr("cast(map() as map<string,array<bigint>>)").alias("nums"))
-        start = F.struct(F.coalesce(start.getField("meta"), none.getField("meta")).alias("meta"), F.coalesce(start.getField("nums"), none.getField("nums")).alias("nums"))
-
-        def union(a, b):
-            return F.map_zip_with(a, b, lambda k, x, y: F.array_distinct(F.concat(F.coalesce(x, F.slice(y, 1, 0)), F.coalesce(y, F.slice(x, 1, 0)))))
+        added = log.where("op = 'add'").select("id", "seq", F.explode("meta").alias("field", "values"), "nums").select("id", "seq", "field", F.get("values", F.lit(0)).alias("value"), F.expr("get(nums[field], 0)").alias("number"))
+        added = added.groupBy("id", "field", "value").agg(F.max("seq").alias("last"), F.first("number").alias("number")).groupBy("id").agg(F.collect_list(F.struct("field", "value", "number", "last")).alias("adds"))
+        old = self._base().join(by_id.select("id"), "id", "left_semi")
+        both = by_id.join(old, "id", "left").join(added, "id", "left")
+        none_meta, none_nums = F.expr("cast(map() as map<string,array<string>>)"), F.expr("cast(map() as map<string,array<bigint>>)")
+        fresh = F.col("reset").isNotNull()
+        both = both.withColumns({"sm": F.coalesce(F.when(fresh, F.col("nm.meta")).otherwise(F.col("meta")), none_meta), "sn": F.coalesce(F.when(fresh, F.col("nm.nums")).otherwise(F.col("nums")), none_nums)})
+        later = F.filter(F.coalesce("adds", F.array()), lambda a: a.getField("last") > F.coalesce("reset", F.lit(-1)))
+
+        def union(start, value, kind):
+            """Of each field its values and those added, each once."""
+            some = F.filter(later, lambda a: a.getField(value).isNotNull())
+            fields = F.array_distinct(F.concat(F.map_keys(start), F.transform(some, lambda a: a.getField("field"))))
+            mine = lambda f: F.transform(F.filter(some, lambda a: a.getField("field") == f), lambda a: a.getField(value))
+            return F.map_from_arrays(fields, F.transform(fields, lambda f: F.array_distinct(F.concat(F.coalesce(start[f], F.array().cast(kind)), mine(f)))))
+
+        out = both.select("id", F.coalesce("nv", "v").alias("v"), union(F.col("sm"), "value", "array<string>").alias("meta"), union(F.col("sn"), "number", "array<bigint>").alias("nums"), (F.coalesce("deleted", F.lit(False)) | F.col("gone")).alias("deleted"), "moved")
+        self._fold = (self.m["version"], settle(out, "touched"))
+        return self._fold[1]
+
+    def _untouched(self) -> DataFrame:
+        """Base rows that the log leaves alone: an anti-join with the short table of touched ids."""
+        return self._base().join(self._touched().select("id"), "id", "left_anti") if self.m["logs"] else self._base()
 
-        later = F.filter(F.coalesce("adds", F.array()), lambda a: a.getField("seq") > F.coalesce("reset", F.lit(-1)))
-        done = F.aggregate(later, start, lambda s, a: F.struct(union(s.getField("meta"), a.getField("meta")).alias("meta"), union(s.getField("nums"), F.coalesce(a.getField("nums"), none.getField("nums"))).alias("nums")))
-        out = both.withColumn("s", done)
-        return out.select("id", F.coalesce("nv", "v").alias("v"), F.col("s.meta").alias("meta"), F.col("s.nums").alias("nums"), (F.coalesce("deleted", F.lit(False)) | (F.coalesce("gone", F.lit(0)) == 1)).alias("deleted"))
+    def state(self) -> DataFrame:
+        """(id, v, meta, nums, deleted): base and log folded."""
+        cols = ("id", "v", "meta", "nums", "deleted")
+        return self._untouched().select(*cols).unionByName(self._touched().select(*cols)) if self.m["logs"] else self._base()
 
     @property
     def count(self) -> int:
@@ -202,13 +293,20 @@ class Collection:
         tokens = self._ledger().select("token").distinct().count()
         return {"allocated": self.count, "deleted": gone, "active": self.count - gone, "idempotency_records": tokens, "log_rows": self._logs().count(), "version": self.m["version"]}
 
-    def keys(self) -> list[str]:
-        """The distinct metadata keys of visible documents."""
-        k = self.state().where(~F.col("deleted")).select(F.explode(M.key_column(F.col("meta"), F.col("nums"))).alias("k")).distinct()
-        return sorted(r.k for r in k.collect())
+    def keys_table(self) -> DataFrame:
+        """(key): the distinct metadata keys of visible documents."""
+        return self.state().where(~F.col("deleted")).select(F.explode(M.key_column(F.col("meta"), F.col("nums"))).alias("key")).distinct()
+
+    def keys(self, most: int = 1_000_000) -> list[str]:
+        """The same as a sorted list; refused above ``most``."""
+        k = [r.key for r in self.keys_table().limit(most + 1).collect()]
+        if len(k) > most:
+            raise ValueError(f"more than {most} keys: take keys_table()")
+        return sorted(k)
 
-    def values(self, field: str) -> list[str]:
-        return [r.v for r in self.state().where(~F.col("deleted")).select(F.explode(F.col("meta")[field]).alias("v")).distinct().collect()]
+    def values(self, field: str, pattern: str) -> list[str]:
+        """The values of a field that an expression matches, as many as a filter may have and one more."""
+        return M.matching(self.state().where(~F.col("deleted")), field, pattern)
 
     def fingerprint(self) -> str:
         """SHA-256 over the cells, the parameters and the size of the frozen tier."""
@@ -311,48 +409,179 @@ class Collection:
         self._need(ids)
         self._append([(self.m["seq"] + 1 + n, "add", int(i), None, meta, nums, None, None) for n, i in enumerate(dict.fromkeys(map(int, ids)))])
 
+    # ---- mutations by frames: the same rules, rows stay on the executors ----
+
+    def insert_frame(self, rows: DataFrame, order: str = "seq") -> DataFrame:
+        """Insert rows (order, v[, meta, nums][, key]) of any number and return (order, id).
+
+        ``meta`` and ``nums`` are the maps of ``functions.metadata.encode``. Keys are idempotent as in ``insert_batch``: the first row of
+        a key counts, rows that bring it again with the same payload get its id. With another payload, the rows before the
+        first such one are committed, and a ``BatchError`` is raised.
+        """
+        null = {"meta": "map<string,array<string>>", "nums": "map<string,array<bigint>>", "key": "string"}
+        cols = [F.col(c) if c in rows.columns else F.lit(None).cast(t).alias(c) for c, t in null.items()]
+        rows = rows.select(F.col(order).cast("long").alias("ord"), V.doubles("v").alias("v"), *cols)
+        wrong = ~V.is_valid(F.col("v"), self.m["dim"]) | F.col("ord").isNull() | (F.col("key").isNotNull() & ~F.octet_length("key").between(1, 256))
+        if rows.where(wrong).limit(1).count():
+            raise ValueError(f"vectors have {self.m['dim']} finite components, not all zero; keys 1 to 256 bytes")
+
+        def prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                tokens, digests = [], []
+                for v, meta, nums, key in zip(*(b.column(i).to_pylist() for i in (1, 2, 3, 4))):
+                    tokens.append(hashlib.sha256(key.encode()).hexdigest() if key is not None else None)
+                    digests.append(payload_digest(v, M.keys(dict(meta or ()), dict(nums or ()))) if key is not None else None)
+                yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(tokens, pa.string()), pa.array(digests, pa.string())], ["ord", "v", "meta", "nums", "token", "digest"])
+
+        ready = rows.mapInArrow(prepare, "ord long, v array<double>, meta map<string,array<string>>, nums map<string,array<bigint>>, token string, digest string")
+        ready = settle(ready.withColumn("v", V.unit(F.col("v").cast("array<float>").cast("array<double>"))), "insert")
+        first = ready.where("token is not null").groupBy("token").agg(F.min("ord").alias("o1"), F.min_by("digest", "ord").alias("d1"))
+        old = self._ledger().join(first.select("token"), "token", "left_semi").select("token", F.col("digest").alias("d0"), F.col("id").alias("id0"))
+        seen = ready.select("ord", "token", "digest").join(first, "token", "left").join(old, "token", "left")
+        seen = settle(seen.select("ord", "token", "id0", (F.coalesce("d0", "d1") != F.col("digest")).alias("other"), (F.col("token").isNull() | (F.col("id0").isNull() & (F.col("ord") == F.col("o1")))).alias("new")), "seen")
+        stop = seen.where("other").agg(F.min("ord")).first()[0]
+        if stop is not None:
+            seen = seen.where(F.col("ord") < stop)
+        ids = settle(allocate(seen.where("new").select("ord", "token"), "ord", self.m["count"]), "ids")
+        n = ids.count()
+        if self.m["count"] + n > ID_LIMIT:
+            raise ValueError("no ids left")
+        if n:
+            log = ready.drop("token").join(ids, "ord").select((F.col("new_id") - self.m["count"] + self.m["seq"] + 1).cast("long").alias("seq"), F.lit("insert").alias("op"), F.col("new_id").cast("long").alias("id"), "v", "meta", "nums", "token", "digest")
+            self._publish(logs=[*self.m["logs"], self._save(log, "log")], seq=self.m["seq"] + n, count=self.m["count"] + n)
+        mine = seen.join(ids.select("ord", "new_id"), "ord", "left").join(ids.where("token is not null").select("token", F.col("new_id").alias("first_id")), "token", "left")
+        out = mine.select(F.col("ord").alias(order), F.coalesce("id0", "new_id", "first_id").cast("long").alias("id"))
+        if stop is not None:
+            raise BatchError(f"the key of row {stop} was used with another payload", [r.id for r in out.orderBy(order).limit(MAX_BATCH).collect()])
+        return out
+
+    def _append_frame(self, op: str, rows: DataFrame, allow_deleted: bool = False) -> int:
+        """Check the ids of rows (id, v, meta, nums) and append them in the order of ids."""
+        rows = settle(rows.select(F.col("id").cast("long").alias("id"), "v", "meta", "nums"), "mutation")
+        if rows.where(F.col("id").isNull() | ~F.col("id").between(0, self.count - 1)).limit(1).count():
+            raise OSError("unknown id")
+        if not allow_deleted and rows.join(self.state().where("deleted").select("id"), "id", "left_semi").limit(1).count():
+            raise OSError("a document is deleted")
+        n = rows.count()
+        if n:
+            log = allocate(rows, "id", self.m["seq"] + 1).select(F.col("new_id").cast("long").alias("seq"), F.lit(op).alias("op"), "id", "v", "meta", "nums", F.lit(None).cast("string").alias("token"), F.lit(None).cast("string").alias("digest"))
+            self._publish(logs=[*self.m["logs"], self._save(log, "log")], seq=self.m["seq"] + n)
+        return n
+
+    def _frame(self, rows: DataFrame, vectors: bool, metadata: bool) -> DataFrame:
+        none_v = F.lit(None).cast("array<double>")
+        maps = [F.coalesce(F.col(c), F.expr(f"cast(map() as {t})")).alias(c) if metadata and c in rows.columns else F.expr(f"cast({'map()' if metadata else 'null'} as {t})").alias(c) for c, t in (("meta", "map<string,array<string>>"), ("nums", "map<string,array<bigint>>"))]
+        if vectors and rows.where(~V.is_valid(V.doubles("v"), self.m["dim"])).limit(1).count():
+            raise ValueError(f"vectors have {self.m['dim']} finite components, not all zero")
+        return rows.select("id", (V.unit(V.doubles("v").cast("array<float>").cast("array<double>")) if vectors else none_v).alias("v"), *maps)
+
+    def update_frame(self, rows: DataFrame) -> int:
+        """Replace vectors and metadata of rows (id, v[, meta, nums]), one row an id."""
+        return self._append_frame("update", self._frame(rows, True, True))
+
+    def set_metadata_frame(self, rows: DataFrame) -> int:
+        """Replace the metadata of rows (id, meta, nums), one row an id."""
+        return self._append_frame("set", self._frame(rows, False, True))
+
+    def delete_frame(self, ids: DataFrame) -> int:
+        return self._append_frame("delete", self._frame(ids.select(F.col(ids.columns[0]).alias("id")).distinct(), False, False), True)
+
+    def add_metadata_frame(self, ids: DataFrame, metadata: Mapping[str, Any]) -> int:
+        """Add one value to any number of documents; an unknown or deleted id rejects the whole call."""
+        meta, nums = M.encode(metadata, self.specs)
+        if len(meta) != 1 or len(next(iter(meta.values()))) != 1:
+            raise ValueError("one field with one value")
+        field, (value,) = next(iter(meta.items()))
+        number = nums.get(field)
+        rows = ids.select(F.col(ids.columns[0]).alias("id")).distinct()
+        rows = rows.withColumn("meta", F.create_map(F.lit(field), F.array(F.lit(value))))
+        rows = rows.withColumn("nums", F.create_map(F.lit(field), F.array(*(F.lit(int(x)).cast("long") for x in number))) if number else F.expr("cast(map() as map<string,array<bigint>>)"))
+        return self._append_frame("add", self._frame(rows, False, True))
+
     # ---- search ----
 
     def search(self, queries: DataFrame, top_k: int, where: Mapping[str, Any] | None = None, allowed: DataFrame | None = None, params: SearchParams | None = None) -> DataFrame:
         """(qid, rank, id, score) for a batch of queries (qid, q). Filters come before every cap; few eligible rows are scored exactly."""
         p = params or SearchParams.default(V.padded_dim(self.m["dim"]), (self.m["index"] or {"k": 1})["k"], not self.m["index"])
-        if not 1 <= top_k <= p.rerank:
-            raise ValueError("top_k lies in 1..rerank")
+        if not 1 <= top_k <= min(p.rerank, p.top_k or p.rerank):
+            raise ValueError("top_k lies in 1..rerank, and within the profile's")
         if queries.where(~V.is_valid(V.doubles("q"), self.m["dim"])).limit(1).count():
             raise ValueError("query vectors must be finite and not zero")
-        eligible = self.state().where(~F.col("deleted"))
-        if where:
-            eligible = eligible.where(M.where(where, self.values, self.specs))
-        if allowed is not None:
-            eligible = eligible.join(allowed.select(F.col(allowed.columns[0]).cast("long").alias("id")).distinct(), "id", "left_semi")
-        if eligible.select("id").limit(EXACT_LIMIT + 1).count() <= EXACT_LIMIT or not (self.m["index"] or self.m["entries"]):
-            return topk.exact_top_k(eligible, queries, top_k)
+        if p.max_bytes is not None and queries.count() * p.rerank * 24 > p.max_bytes:
+            raise MemoryError("the candidates of this batch exceed max_bytes")
+        sift = self._sieve(where, allowed)
+        filtered = bool(where) or allowed is not None
+        if not (self.m["index"] or self.m["entries"]):
+            return topk.exact_top_k(sift(self.state()), queries, top_k)
+        if filtered and sift(self.state()).select("id").limit(p.exact_limit + 1).count() <= p.exact_limit or not filtered and self.m["count"] <= p.exact_limit:
+            return topk.exact_top_k(sift(self.state()), queries, top_k)
         tiers = []
-        moved = self._logs().where("v is not null").select("id").distinct()
+        low = F.col("id") < self.m["base_n"]
+        untouched, touched = self._untouched(), self._touched() if self.m["logs"] else None
+        rest = sift(untouched.where(~low)) if self.m["base"] or not self.m["index"] else None
+        if touched is not None:
+            more = sift(touched.where(~low | F.col("moved")) if self.m["index"] else touched)
+            rest = more if rest is None else rest.select("id", "v").unionByName(more.select("id", "v"))
         if self.m["index"]:
-            cells, assigned = (self.spark.read.parquet(self.m["index"][t]) for t in ("cells", "assigned"))
-            frozen = eligible.where(F.col("id") < self.m["base_n"]).join(moved, "id", "left_anti")
-            entries = assigned.select("id", "cell").join(frozen.select("id"), "id", "left_semi")
-            probes = self._probes(queries, cells, assigned, p, bool(where) or allowed is not None)
-            if self.m["index"].get("codes"):  # filtered before the cap
-                codes = self.spark.read.parquet(self.m["index"]["codes"]).join(frozen.select("id"), "id", "left_semi")
-                hit = residual.candidates(probes, codes, queries, cells, self.m["index"]["seed"], V.padded_dim(self.m["dim"]), p.rerank, self.m["index"]["m"])
-            else:
-                hit = ivf.probe(probes, entries)
-            tiers.append(ivf.rerank(hit, frozen, queries, p.rerank))
-            rest = eligible.join(frozen.select("id"), "id", "left_anti")
+            probes, hit = self.frozen_candidates(queries, p, sift if filtered else None)
+            vectors = untouched.where(low).select("id", "v")
+            if touched is not None:
+                vectors = vectors.unionByName(touched.where(low & ~F.col("moved")).select("id", "v"))
+            tiers.append(ivf.rerank(hit, vectors, queries, p.rerank))
+        if rest is not None:
+            if self.m["entries"]:
+                tail = self._logs().where((F.col("seq") > self.m["packed_seq"]) & F.col("v").isNotNull()).select("id").distinct()
+                old = rest.join(tail, "id", "left_anti")
+                tiers.append(ivf.rerank(self.live_candidates(queries, p, old), old, queries, p.rerank))
+                rest = rest.join(tail, "id", "left_semi")
+            tiers.append(topk.exact_top_k(rest, queries, top_k))
+        found = merge(*tiers).withColumn("score", F.round("score", 12))  # equal vectors tie whichever tier scored them
+        return topk.rank(found, top_k).select("qid", "rank", "id", "score")
+
+    def _sieve(self, where: Mapping[str, Any] | None, allowed: DataFrame | None):
+        """A function that keeps the visible rows that pass the filters."""
+        keep = ~F.col("deleted") & (M.where(where, self.values, self.specs) if where else F.lit(True))
+        ids = allowed.select(F.col(allowed.columns[0]).cast("long").alias("id")).distinct() if allowed is not None else None
+
+        def sift(rows: DataFrame) -> DataFrame:
+            rows = rows.where(keep)
+            return rows.join(ids, "id", "left_semi") if ids is not None else rows
+
+        return sift
+
+    def frozen_candidates(self, queries: DataFrame, p: SearchParams, sift=None) -> tuple[DataFrame, DataFrame]:
+        """(probes, candidates (qid, id)) of the frozen tier: cells first; their entries lose what is filtered, moved or deleted before any cap."""
+        index, low = self.m["index"], F.col("id") < self.m["base_n"]
+        cells, assigned = (self.spark.read.parquet(index[t]) for t in ("cells", "assigned"))
+        probes = settle(self._probes(queries, cells, assigned, p, sift is not None), "probes")
+        touched = self._touched() if self.m["logs"] else None
+        if sift is not None:
+            good = sift(self._untouched().where(low)).select("id")
+            if touched is not None:
+                good = good.unionByName(sift(touched.where(low & ~F.col("moved"))).select("id"))
+            usable = lambda e: e.join(good, "id", "left_semi")
         else:
-            rest = eligible
-        if self.m["entries"]:
-            packed = self.spark.read.parquet(self.m["entries"])
-            tail = self._logs().where((F.col("seq") > self.m["packed_seq"]) & F.col("v").isNotNull()).select("id").distinct()
-            old = rest.join(tail, "id", "left_anti")
-            tiers.append(ivf.rerank(ivf.probe(self._live_probes(queries, p.nprobe), packed.join(old.select("id"), "id", "left_semi")), old, queries, p.rerank))
-            rest = rest.join(tail, "id", "left_semi")
-        tiers.append(topk.exact_top_k(rest, queries, top_k))
-        from ..operators.live import merge
-
-        return topk.rank(merge(*tiers), top_k).select("qid", "rank", "id", "score")
+            gone = [self._base().where("deleted").select("id")] if self.m["base"] else []
+            gone += [touched.where(F.col("deleted") | F.col("moved")).select("id")] if touched is not None else []
+            bad = reduce(DataFrame.unionAll, gone).distinct() if gone else None
+            usable = lambda e: e.join(bad, "id", "left_anti") if bad is not None else e
+        near = probes.select("cell").distinct()
+        pad = V.padded_dim(self.m["dim"])
+        if index.get("codes"):
+            codes = usable(self.spark.read.schema(residual.CODES).parquet(*index["codes"]).join(near, "cell", "left_semi"))
+            return probes, residual.candidates(probes, codes, queries, cells, index["seed"], pad, p.rerank, index["m"])
+        if index.get("transform"):
+            t = index["transform"]
+            codes = usable(self.spark.read.schema(transform.CODES).parquet(t["codes"]).join(near, "cell", "left_semi"))
+            return probes, transform.candidates(codes, queries, np.array(t["scale"]), t["bits"], index["seed"], pad, p.rerank, probes)
+        return probes, usable(ivf.probe(probes, assigned.select("id", "cell")))
+
+    def live_candidates(self, queries: DataFrame, p: SearchParams, old: DataFrame) -> DataFrame:
+        """(qid, id) of the packed live tier: entries of the probed cells by code, twice ``rerank`` of them, then distinct ids."""
+        codes = self.spark.read.schema(residual.CODES).parquet(self.m["live_codes"])
+        probes = settle(self._live_probes(queries, p.nprobe, codes), "probes")
+        codes = codes.join(probes.select("cell").distinct(), "cell", "left_semi").join(old.select("id"), "id", "left_semi")
+        return residual.candidates(probes, codes, queries, self._live_cells(), LIVE_SEED, V.padded_dim(self.m["dim"]), p.rerank, 2)
 
     def _probes(self, queries: DataFrame, cells: DataFrame, assigned: DataFrame, p: SearchParams, filtered: bool) -> DataFrame:
         k = self.m["index"]["k"]
@@ -366,45 +595,88 @@ class Collection:
             routed = ivf.byte_budget(routed, sizes, p.code_bytes)
         return routed
 
-    def _live_probes(self, queries: DataFrame, nprobe: int) -> DataFrame:
+    def _centres(self) -> np.ndarray | None:
+        """The int8 centres of the live cells, bounded by ``max_cells``."""
+        if not self.m["centres"]:
+            return None
+        rows = self.spark.read.parquet(self.m["centres"]).orderBy("cell").toLocalIterator()
+        return np.array([r.q8 for r in rows], np.int8)
+
+    def _live_cells(self) -> DataFrame:
+        return self.spark.read.parquet(self.m["centres"]).select("cell", "q8", F.lit(127.0).alias("top"))
+
+    def _live_probes(self, queries: DataFrame, nprobe: int, entries: DataFrame) -> DataFrame:
+        """(qid, cell): the best cells of each query among those that hold entries."""
         rows = queries.select(F.col("qid").alias("id"), F.col("q").alias("v"))
-        return split.attach(rows, np.array(self.m["centres"]), min(nprobe, len(self.m["centres"]))).select(F.col("id").alias("qid"), "cell")
+        filled = np.array(sorted(r.cell for r in entries.select("cell").distinct().collect()), np.int32)
+        return split.attach(rows, self._centres()[filled], min(nprobe, len(filled)), filled).select(F.col("id").alias("qid"), "cell")
 
     def recall(self, queries: DataFrame, top_k: int, params: SearchParams) -> DataFrame:
         truth = topk.exact_top_k(self.state().where(~F.col("deleted")), queries, top_k)
         return ivf.recall(self.search(queries, top_k, params=params), truth, top_k)
 
+    def diagnose(self, queries: DataFrame, top_k: int, params: SearchParams, truth: DataFrame | None = None) -> DataFrame:
+        """(qid, watched, routed, candidates): how many true neighbours the frozen tier's probed cells hold, and how many survive the cap."""
+        if not self.m["index"] or self.m["logs"]:
+            raise ValueError("losses are told for a frozen index without a log")
+        truth = truth if truth is not None else topk.exact_top_k(self.state().where(~F.col("deleted")), queries, top_k)
+        probes, kept = self.frozen_candidates(queries, params)
+        return ivf.losses(truth, probes, self.spark.read.parquet(self.m["index"]["assigned"]), kept)
+
     # ---- maintenance ----
 
     def _live(self) -> DataFrame:
-        moved = self._logs().where("v is not null").select("id").distinct()
-        s = self.state().where(~F.col("deleted")).select("id", "v")
-        return s.where(F.col("id") >= self.m["base_n"]).unionByName(s.where(F.col("id") < self.m["base_n"]).join(moved, "id", "left_semi"))
-
-    def pack(self) -> dict[str, int]:
-        """Route what is live into cells and split until none exceeds the capacity; later rows are searched exactly until the next pack."""
-        centres = np.array(self.m["centres"]) if self.m["centres"] else None
+        """(id, v) of what no frozen cell holds: later ids, and replaced vectors."""
+        low = F.col("id") < self.m["base_n"]
+        rows = self._untouched().where(~low & ~F.col("deleted")).select("id", "v")
+        if not self.m["logs"]:
+            return rows
+        return rows.unionByName(self._touched().where(~F.col("deleted") & (~low | F.col("moved"))).select("id", "v"))
+
+    def pack(self, rebuild: bool = False) -> dict[str, int]:
+        """Route what is live into cells, split until none exceeds the capacity, and encode the entries; later rows are searched exactly
+        until the next pack. ``rebuild`` grows the cells anew from the first live vector on."""
+        centres = None if rebuild else self._centres()
         vecs = settle(self._live(), "live")
-        entries = settle(split.attach(vecs, centres), "entries") if centres is not None else None
-        centres, entries, n = split.grow(vecs, self.m["capacity"], self.m["max_cells"], centres, entries)
-        self._publish(entries=self._save(entries, "entries", "cell") if len(centres) else None, centres=centres.tolist(), splits=self.m["splits"] + n, packed_seq=self.m["seq"])
+        entries = settle(split.attach(vecs, centres).select("id", "slot", "cell"), "entries") if centres is not None else None
+        centres, entries, done = split.grow(vecs, self.m["capacity"], self.m["max_cells"], centres, entries)
+        if not len(centres):
+            self._publish(entries=None, centres=None, live_codes=None, packed_seq=self.m["seq"])
+            return self.cell_stats()
+        table = self._save(self.spark.createDataFrame([(i, c) for i, c in enumerate(centres.tolist())], "cell int, q8 array<int>"), "centres")
+        kept = self._save(entries, "entries", "cell")
+        codes = residual.encode(self.spark.read.parquet(kept), vecs, self.spark.read.parquet(table), LIVE_SEED, V.padded_dim(self.m["dim"]))
+        self._publish(entries=kept, centres=table, live_codes=self._save(codes, "live_codes", "cell"), splits=self.m["splits"] + done["splits"], rewritten=self.m["rewritten"] + done["rewritten"], packed_seq=self.m["seq"])
         return self.cell_stats()
 
     flush_splits = pack
 
+    def rebuild_cells(self) -> dict[str, int]:
+        """Derive the live cells again from the state, as after a damaged or lost table of theirs."""
+        return self.pack(rebuild=True)
+
+    def unpacked(self) -> int:
+        """Rows with vectors behind the last pack."""
+        return self._logs().where((F.col("seq") > self.m["packed_seq"]) & F.col("v").isNotNull()).count()
+
     def cell_stats(self) -> dict[str, int]:
+        base = {"max_cells": self.m["max_cells"], "capacity": self.m["capacity"], "splits": self.m["splits"], "rewritten": self.m["rewritten"], "packed_seq": self.m["packed_seq"], "seq": self.m["seq"], "unpacked": self.unpacked()}
         if not self.m["entries"]:
-            return {"cells": 0, "splits": self.m["splits"], "largest_cell": 0, "entries": 0}
-        return split.cell_stats(self.spark.read.parquet(self.m["entries"]), len(self.m["centres"]), self.m["splits"])
+            return {**base, "cells": 0, "filled_cells": 0, "largest_cell": 0, "smallest_cell": 0, "entries": 0, "pending": 0}
+        return {**base, "cells": self.spark.read.parquet(self.m["centres"]).count(), **split.cell_stats(self.spark.read.parquet(self.m["entries"]), self.m["capacity"])}
 
     @property
     def cell_capacity(self) -> int:
         return self.m["capacity"]
 
     def set_cell_capacity(self, capacity: int) -> None:
-        """Takes effect with the next pack; raising it merges nothing."""
+        """Takes effect with the next pack; raising it merges nothing. Refused while a cell holds over ``SCRATCH`` entries more and could
+        still be split: pack first, or lower it in steps."""
         if not split.MIN_CAPACITY <= capacity <= split.MAX_CAPACITY:
             raise ValueError("capacity lies in 64..65536")
+        s = self.cell_stats()
+        if s["largest_cell"] > capacity + SCRATCH and s["cells"] < self.m["max_cells"]:
+            raise OSError(f"a cell holds {s['largest_cell']} entries")
         self._publish(capacity=capacity)
 
     def compact(self) -> int:
@@ -414,15 +686,18 @@ class Collection:
             return 0
         base = self._save(self.state(), "base", "id")
         ledger = self._save(self._ledger(), "ledger")
-        had_codes = bool((self.m["index"] or {}).get("codes"))
-        index, live = self.m["index"], settle(self._live(), "live").where(F.col("id") < self.m["base_n"])
+        index, residuals, coded = self.m["index"], bool((self.m["index"] or {}).get("codes")), (self.m["index"] or {}).get("transform")
         if index:  # replaced frozen vectors move to the cells of their new place
+            live = settle(self._live().where(F.col("id") < self.m["base_n"]), "live")
             old, cells = self.spark.read.parquet(index["assigned"]), self.spark.read.parquet(index["cells"])
             new = ivf.spill(ivf.assign(live, cells, index["m"]), index["eps"])
-            index = {**index, "codes": None, "assigned": self._save(old.join(live.select("id"), "id", "left_anti").unionByName(new), "assigned", "cell")}
-        self._publish(base=base, logs=[], ledger=ledger, entries=None, centres=[], packed_seq=self.m["seq"], index=index)
-        if index and self.m["index"].get("codes") is None and had_codes:
-            self._publish(index={**self.m["index"], "codes": self._save(residual.encode(self.spark.read.parquet(index["assigned"]), self.state().where(F.col("id") < self.m["base_n"]), self.spark.read.parquet(index["cells"]), index["seed"], V.padded_dim(self.m["dim"])), "codes", "cell")})
+            assigned = self._save(old.join(live.select("id"), "id", "left_anti").unionByName(new.select(*old.columns)), "assigned", "cell")
+            index = {k: v for k, v in index.items() if k not in ("codes", "codes_for", "transform")} | {"assigned": assigned}
+        self._publish(base=base, logs=[], ledger=ledger, entries=None, centres=None, live_codes=None, packed_seq=self.m["seq"], index=index)
+        if residuals:
+            self.build_residual()
+        if coded:
+            self.build_transform(coded["bits"], len(coded["scale"]))
         return rows
 
     def snapshot(self) -> int:
@@ -431,15 +706,5 @@ class Collection:
 
     def tables(self) -> list[str]:
         i = self.m["index"] or {}
-        return [p for p in (self.m["frozen"], self.m["base"], self.m.get("ledger"), self.m["entries"], i.get("cells"), i.get("assigned"), i.get("codes"), *self.m["logs"]) if p]
-
-
-def exact_params(p: SearchParams, n: int) -> SearchParams:
-    """Exhaustive budgets for ``n`` entries: the result then equals the exact one."""
-    return replace(p, nprobe=1_000_000, rerank=min(1_000_000, max(1, n)))
-
-
-def last_writer(df: DataFrame, by: str, order: str) -> DataFrame:
-    """The newest row of each ``by``."""
-    w = Window.partitionBy(by).orderBy(F.col(order).desc())
-    return df.withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k")
+        codes = [*(i.get("codes") or []), (i.get("transform") or {}).get("codes")]
+        return [p for p in (self.m["frozen"], self.m["base"], self.m.get("ledger"), self.m["entries"], self.m["centres"], self.m["live_codes"], i.get("cells"), i.get("assigned"), *codes, *self.m["logs"]) if p]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("vector_queries", "filter_queries", "index_queries", "live_queries", "calibration_queries")
+_MODULES = ("vector_queries", "filter_queries", "index_queries", "live_queries", "calibration_queries", "collection_queries")
 
 
 def registry() -> dict:

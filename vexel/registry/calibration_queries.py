@@ -22,16 +22,15 @@ def calib_bernstein_bound(spark, d):
 
 
 def calib_grid_choice(spark, d):
-    """The least nprobe whose mean recall over the even queries reaches 0.85, and its recall over the odd ones."""
-    from ..operators import topk
-
-    truth = topk.exact_top_k(W.vectors(spark, d), W.queries(spark, d), W.TOP).select("qid", "id")
-    hit = truth.join(I._hits(spark, d, W.K), ["qid", "id"], "left")
-    steps = hit.crossJoin(F.broadcast(spark.createDataFrame([(n,) for n in (1, 2, 4, 8, 16)], "nprobe int")))
-    found = F.coalesce((F.col("rank") <= F.col("nprobe")).cast("int"), F.lit(0))
-    part = lambda p: F.round(F.sum(F.when(F.col("qid") % 2 == p, found)) / F.sum(F.when(F.col("qid") % 2 == p, 1)), 6)
-    per = steps.groupBy("nprobe").agg(part(0).alias("train"), part(1).alias("validation"))
-    return per.where("train >= 0.85").orderBy("nprobe").limit(1)
+    """The library's choice over a grid: the configuration of least cost (its probes stand for its seconds) whose mean recall over the
+    even queries reaches 0.85, validated once on the odd ones."""
+    per = I.recalls(spark, d).withColumn("part", F.when((F.col("qid") / 20).cast("long") % 2 == 0, "train").otherwise("validation"))
+    kept = {(r.part, r.nprobe): r.r for r in per.groupBy("part", "nprobe").agg(F.collect_list("recall").alias("r")).collect()}  # parts x steps lists
+    measure = lambda part, nprobe, rerank: C.Measurement(nprobe, rerank, kept[part, nprobe], float(nprobe))
+    p = C.calibrate(measure, [(n, 400) for n in I.STEPS], 0.85, "registry")
+    found = {m["partition"]: m["recall"] for m in p.measurements if p.configuration and m["nprobe"] == p.configuration["nprobe"]}
+    rows = [(p.configuration["nprobe"], round(found["train"], 6), round(found["validation"], 6), p.status)] if p.configuration else []
+    return spark.createDataFrame(rows, "nprobe int, train double, validation double, status string")
 
 
 def stream_fold_equals_batch(spark, d):
@@ -52,8 +51,8 @@ QUERIES = {
     "calib_grid_choice": (
         calib_grid_choice,
         f"WITH {W.INDEX}, {I._TRUTH}, h AS (SELECT qid, a.id, min(r.rank) AS rank FROM routed r JOIN assigned a USING (cell) GROUP BY ALL), "
-        "p AS (SELECT nprobe, t.qid % 2 AS odd, avg(CASE WHEN h.rank <= nprobe THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS r FROM truth t LEFT JOIN h ON h.qid = t.qid AND h.id = t.id, (VALUES (1), (2), (4), (8), (16)) n(nprobe) GROUP BY ALL) "
-        "SELECT CAST(a.nprobe AS INTEGER) AS nprobe, round(a.r, 6) AS train, round(b.r, 6) AS validation FROM p a JOIN p b USING (nprobe) WHERE a.odd = 0 AND b.odd = 1 AND round(a.r, 6) >= 0.85 ORDER BY 1 LIMIT 1",
+        "p AS (SELECT nprobe, (t.qid // 20) % 2 AS odd, avg(CASE WHEN h.rank <= nprobe THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS r FROM truth t LEFT JOIN h ON h.qid = t.qid AND h.id = t.id, (VALUES (1), (2), (4), (8), (16)) n(nprobe) GROUP BY ALL) "
+        "SELECT CAST(a.nprobe AS INTEGER) AS nprobe, round(a.r, 6) AS train, round(b.r, 6) AS validation, CASE WHEN b.r >= 0.85 THEN 'validated' ELSE 'quality_not_validated' END AS status FROM p a JOIN p b USING (nprobe) WHERE a.odd = 0 AND b.odd = 1 AND a.r >= 0.85 ORDER BY 1 LIMIT 1",
     ),
     "stream_fold_equals_batch": (stream_fold_equals_batch, f"WITH {W.LOG} SELECT c.id, vsrc, d.id IS NOT NULL AS deleted FROM cur c LEFT JOIN deleted d USING (id)"),
 }

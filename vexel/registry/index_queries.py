@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import metadata as M
 from ..functions import vectors as V
-from ..operators import ivf, topk
+from ..operators import ivf, split, topk
+from ..plans.collection import SearchParams
+from ..plans.store import settle
 from . import workload as W
 
 ENTRY_BYTES = 72
@@ -32,7 +36,7 @@ def _old_cells(spark, d):
 def ivf_assign_hierarchical(spark, d):
     new, old = W.cells(spark, d), _old_cells(spark, d)
     near = ivf.neighbours(old, new, 6)
-    return ivf.assign_through(W.vectors(spark, d), ivf.assign(W.vectors(spark, d), old, W.M), near, new, W.M).select("id", "slot", "cell", F.round("d2", 6).alias("d2"))
+    return ivf.assign_through(W.vectors(spark, d), old, near, new, W.M).select("id", "slot", "cell", F.round("d2", 6).alias("d2"))
 
 
 def ivf_cell_histogram(spark, d):
@@ -73,20 +77,26 @@ def _hits(spark, d, most):
     return hit
 
 
+STEPS = (1, 2, 4, 8, 16)
+
+
+def recalls(spark, d):
+    """(nprobe, qid, recall) of each step; a search's scores in cells are exact, so a neighbour is found once its cell is probed."""
+    truth = settle(topk.exact_top_k(W.vectors(spark, d), W.queries(spark, d), W.TOP).select("qid", "id"), "truth")
+    hit = settle(_hits(spark, d, W.K), "hits")
+    parts = [ivf.recall(hit.where(F.col("rank") <= n), truth, W.TOP).withColumn("nprobe", F.lit(n)) for n in STEPS]
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
 def ivf_recall_by_nprobe(spark, d):
-    """A true neighbour is found with nprobe if a cell of rank nprobe or less holds it (scores in cells are exact)."""
-    truth = topk.exact_top_k(W.vectors(spark, d), W.queries(spark, d), W.TOP).select("qid", "id")
-    hit = truth.join(_hits(spark, d, W.K), ["qid", "id"], "left")
-    steps = hit.crossJoin(F.broadcast(spark.createDataFrame([(n,) for n in (1, 2, 4, 8, 16)], "nprobe int")))
-    per = steps.groupBy("nprobe", "qid").agg((F.sum(F.coalesce((F.col("rank") <= F.col("nprobe")).cast("int"), F.lit(0))) / F.lit(10.0)).alias("r"))
-    return per.groupBy("nprobe").agg(F.round(F.avg("r"), 6).alias("recall"))
+    return recalls(spark, d).groupBy("nprobe").agg(F.round(F.avg("recall"), 6).alias("recall"))
 
 
 def ivf_diagnose_losses(spark, d):
     """Losses by routing (4 cells) and by a candidate cap of 20 entries ranked by exact score."""
     truth = topk.exact_top_k(W.vectors(spark, d), W.queries(spark, d), W.TOP)
     probes = ivf.route(W.queries(spark, d), W.cells(spark, d), 4)
-    hit = ivf.probe(probes, W.assigned(spark, d)).join(W.vectors(spark, d).select("id", V.unit(F.col("v")).alias("v")), "id").join(F.broadcast(W.queries(spark, d)), "qid")
+    hit = ivf.probe(probes, W.assigned(spark, d)).join(W.vectors(spark, d).select("id", V.unit(F.col("v")).alias("v")), "id").join(W.queries(spark, d), "qid")
     kept = topk.rank(hit.select("qid", "id", F.round(V.dot(F.col("q"), F.col("v")), 9).alias("score"), "cell"), 20)
     return ivf.losses(truth, probes, W.assigned(spark, d), kept)
 
@@ -99,10 +109,9 @@ def index_fingerprint(spark, d):
 
 
 def default_parameters(spark, d):
-    """Default budgets and capacities by dimension."""
-    dims = spark.range(1, 1025).select(F.col("id").cast("int").alias("dim"))
-    padded = F.greatest(F.lit(8), F.pow(F.lit(2.0), F.ceil(F.log2(F.col("dim").cast("double")))).cast("int"))
-    return dims.select("dim", padded.alias("padded"), F.least(F.lit(100), F.greatest(F.lit(1), F.floor(padded / 2).cast("int"))).alias("nprobe"), F.greatest(F.lit(64), F.col("dim") * 2).alias("capacity"))
+    """Default budgets and capacities by dimension, as the library gives them for an index of 100 cells."""
+    rows = [(n, V.padded_dim(n), SearchParams.default(V.padded_dim(n), 100, False).nprobe, split.default_capacity(n)) for n in range(1, V.MAX_DIM + 1)]
+    return spark.createDataFrame(rows, "dim int, padded int, nprobe int, capacity int")
 
 
 def ivf_set_dedup(spark, d):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
@@ -81,39 +82,63 @@ def live_tail_search(spark, d):
 
 
 def live_compact_equivalence(spark, d):
-    """The folded state written as a new base and folded with an empty log gives the same results."""
-    frozen, moved = _tiers(spark, d)
-    return topk.exact_top_k(frozen.unionByName(moved), W.queries(spark, d), W.TOP).select("qid", "rank", "id", F.round("score", 6).alias("score"))
+    """The folded state, written as a new base and folded with an empty log, gives the same results."""
+    now = live.visible(_folded(spark, d)).join(W.vectors(spark, d).select(F.col("id").alias("vsrc"), "v"), "vsrc").select("id", "v")
+    base = settle(now, "base")
+    again = live.visible(live.fold(W.log(spark, d)[0].limit(0), base.select("id", F.col("id").alias("vsrc"))))
+    return topk.exact_top_k(again.join(base, "id").select("id", "v"), W.queries(spark, d), W.TOP).select("qid", "rank", "id", F.round("score", 6).alias("score"))
 
 
 def live_route_top2(spark, d):
-    """Live routing: int8 product times the reciprocal length of the centre, the best two cells."""
-    cells = ivf.cells(W.vectors(spark, d), W.ANCHORS).select("cell", V.quantize_i8(F.col("v")).alias("c8"))
-    cells = cells.withColumn("scale", F.lit(1.0) / F.sqrt(V.dot_i8(F.col("c8"), F.col("c8")).cast("double")))
-    v = W.vectors(spark, d).select("id", V.quantize_i8(V.unit(F.col("v"))).alias("v8"))
-    pairs = v.crossJoin(F.broadcast(cells)).select("id", "cell", F.round(V.dot_i8(F.col("v8"), F.col("c8")) * F.col("scale"), 9).alias("s"))
-    return topk.rank(pairs, 2, "s", "id", "cell").select("id", (F.col("rank") - 1).cast("int").alias("slot"), "cell", F.round("s", 6).alias("score"))
-
-
-PAIR = (3, 77)
+    """Live routing: int8 product over the length of the centre, the best two cells; the kernel that collections use."""
+    rows = ivf.cells(W.vectors(spark, d), W.ANCHORS).select("cell", V.quantize_i8(F.col("v")).alias("q8")).orderBy("cell").collect()  # 16 cells
+    out = split.attach(W.vectors(spark, d), np.array([r.q8 for r in rows], np.int8), 2)
+    return out.select("id", "slot", "cell", F.round("score", 6).alias("score"))
 
 
 def live_split_once(spark, d):
-    """One split along the line between two given members: projections in descending order, the first half stays."""
-    v = W.vectors(spark, d).where("id < 200").select("id", V.unit(F.col("v")).alias("v"))
-    return split.halves(v, *PAIR).select("id", "half", F.round("p", 6).alias("p"))
+    """One round that splits every cell of the first assignment: which half each entry goes to."""
+    entries = W.assigned(spark, d, 1).select("id", "slot", "cell")
+    done = split.split_round(entries, W.vectors(spark, d).select("id", V.unit(F.col("v")).alias("v")), list(range(W.K)), W.K, 0)
+    return done.where("slot >= 0").select("id", (F.col("cell") % W.K).cast("int").alias("cell"), (F.col("cell") >= W.K).cast("int").alias("half"))
 
 
 def live_split_to_capacity(spark, d):
     """Rounds of splits until no cell exceeds 128 entries: invariants of the outcome."""
-    cells, entries, splits = split.grow(W.vectors(spark, d).select("id", V.unit(F.col("v")).alias("v")), capacity=128)
-    sizes = entries.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
-    return sizes.agg((F.max("n") <= 128).alias("within"), F.sum("n").alias("entries"), (F.count(F.lit(1)) > 1).alias("grew"))
+    vec = W.vectors(spark, d).select("id", V.unit(F.col("v")).alias("v"))
+    centres, entries, done = split.grow(vec, capacity=128)
+    per = entries.groupBy("id").agg(F.count(F.lit(1)).alias("n")).agg(F.count(F.lit(1)).alias("ids"), F.min("n").alias("least"), F.max("n").alias("most"))
+    sizes = entries.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).agg((F.max("n") <= 128).alias("within"), F.sum("n").alias("entries"))
+    return sizes.crossJoin(per).select("within", "entries", "ids", "least", "most", F.lit(len(centres) == done["splits"] + 2).alias("numbered"))
 
 
 _L = f"WITH {W.BASE}, {W.LOG}"
 _MERGED = f"{_L}, now AS MATERIALIZED (SELECT c.id, u.v FROM cur c JOIN unit u ON u.id = c.vsrc WHERE c.id NOT IN (SELECT id FROM deleted)) SELECT qid, CAST(rank AS INTEGER) AS rank, id, round(score, 6) AS score FROM (SELECT qid, n.id, list_dot_product(q, n.v) AS score, row_number() OVER (PARTITION BY qid ORDER BY list_dot_product(q, n.v) DESC, n.id) AS rank FROM qry, now n) WHERE rank <= {W.TOP}"
 _C8 = W.i8("v")
+
+
+def _draws() -> str:
+    """(cell, k, x, y): the seeded draws of each cell's pairs."""
+    rows = []
+    for cell in range(W.K):
+        state = split.SPLIT_SEED + (W.K + cell) * split.SPLIT_STEP + cell
+        for k in range(split.PAIRS):
+            state, x = V.splitmix64(state)
+            state, y = V.splitmix64(state)
+            rows.append(f"({cell}, {k}, {x}::UBIGINT, {y}::UBIGINT)")
+    return ", ".join(rows)
+
+
+_MINUS = "list_transform(range({d}), lambda i: {a}[i + 1] - {b}[i + 1])"
+_SPLIT_SQL = (
+    f"WITH {W.INDEX}, draws(cell, k, x, y) AS (VALUES {_draws()}), "
+    "m AS MATERIALIZED (SELECT a.cell, a.id, u.v, row_number() OVER (PARTITION BY a.cell ORDER BY a.id) - 1 AS r, count(*) OVER (PARTITION BY a.cell) AS n FROM assigned a JOIN unit u USING (id) WHERE a.slot = 0), "
+    "sz AS (SELECT cell, max(n) AS n FROM m GROUP BY cell), "
+    f"pairs AS MATERIALIZED (SELECT d.cell, d.k, {_MINUS.format(d=W.DIM, a='a.v', b='b.v')} AS axis FROM draws d JOIN sz USING (cell) JOIN m a ON a.cell = d.cell AND a.r = d.x % sz.n::UBIGINT JOIN m b ON b.cell = d.cell AND b.r = d.y % sz.n::UBIGINT), "
+    "best AS MATERIALIZED (SELECT cell, axis FROM pairs QUALIFY row_number() OVER (PARTITION BY cell ORDER BY list_dot_product(axis, axis) DESC, k) = 1), "
+    "p AS (SELECT m.id, m.cell, m.n, row_number() OVER (PARTITION BY m.cell ORDER BY list_dot_product(m.v, best.axis) DESC, m.id) AS o FROM m JOIN best USING (cell)) "
+    "SELECT id, cell, CASE WHEN o > n // 2 THEN 1 ELSE 0 END AS half FROM p"
+)
 QUERIES = {
     "live_fold_state": (live_fold_state, f"{_L} SELECT c.id, vsrc, d.id IS NOT NULL AS deleted FROM cur c LEFT JOIN deleted d USING (id)"),
     "live_rejected_ops": (live_rejected_ops, f"{_L} SELECT seq, op, id FROM st WHERE NOT ok"),
@@ -127,6 +152,6 @@ QUERIES = {
     "live_tail_search": (live_tail_search, _MERGED),
     "live_compact_equivalence": (live_compact_equivalence, _MERGED),
     "live_route_top2": (live_route_top2, f"WITH {W.INDEX}, c8 AS MATERIALIZED (SELECT cell, CAST({_C8} AS DOUBLE[]) AS c FROM cells), s AS (SELECT id, cell, round(list_dot_product(CAST(v8 AS DOUBLE[]), c) * (1.0::DOUBLE / sqrt(list_dot_product(c, c))), 9) AS s FROM v8, c8) SELECT id, CAST(k - 1 AS INTEGER) AS slot, cell, round(s, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY s DESC, cell) AS k FROM s) WHERE k <= 2"),
-    "live_split_once": (live_split_once, f"WITH {W.BASE}, a AS (SELECT v FROM unit WHERE id = {PAIR[0]}), b AS (SELECT v FROM unit WHERE id = {PAIR[1]}), p AS (SELECT u.id, list_dot_product(u.v, list_transform(range({W.DIM}), lambda i: a.v[i + 1] - b.v[i + 1])) AS p FROM unit u, a, b WHERE u.id < 200), r AS (SELECT *, row_number() OVER (ORDER BY p DESC, id) AS k, count(*) OVER () AS n FROM p) SELECT id, CASE WHEN k <= n // 2 THEN 0 ELSE 1 END AS half, round(p, 6) AS p FROM r"),
-    "live_split_to_capacity": (live_split_to_capacity, "SELECT true AS within, 2 * count(*) AS entries, true AS grew FROM embeddings"),
+    "live_split_once": (live_split_once, _SPLIT_SQL),
+    "live_split_to_capacity": (live_split_to_capacity, "SELECT true AS within, 2 * count(*) AS entries, count(DISTINCT vec_id) AS ids, CAST(2 AS BIGINT) AS least, CAST(2 AS BIGINT) AS most, true AS numbered FROM embeddings"),
 }

@@ -1,7 +1,7 @@
 """Frames and SQL text shared by the registered queries.
 
-Vectors are ``embeddings``, queries the rows with vec_id < 32, metadata comes from ``documents`` and ``labels`` by id, and the
-mutation log from ``events``.
+Vectors are ``embeddings``, queries the rows whose vec_id is divisible by 20, metadata comes from ``documents`` and ``labels`` by id, and
+the mutation log from all ``events``.
 """
 
 from __future__ import annotations
@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 from ..functions import vectors as V
 from ..operators import ivf
 
-DIM, K, SEED, M, N_QUERIES, TOP = 64, 16, 52, 2, 32, 10
+DIM, K, SEED, M, TOP = 64, 16, 52, 2, 10
+#: The query set: every row whose id is divisible by 20.
+IS_QUERY = "id % 20 = 0"
 #: Cells are drawn from the first 500 vectors, which every scale has.
 ANCHORS = ivf.anchor_ids(500, K, SEED)
 SIGNS = V.signs(DIM, SEED)
@@ -27,7 +29,7 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vectors(spark, sf_dir).where(F.col("id") < N_QUERIES).select(F.col("id").alias("qid"), F.col("v").alias("q"))
+    return vectors(spark, sf_dir).where(IS_QUERY).select(F.col("id").alias("qid"), F.col("v").alias("q"))
 
 
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,11 +55,12 @@ def metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def log(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(log, base): the event-derived mutation log over N vectors, of which four fifths exist before it."""
+    """(log, base): the mutation log that all events make over N vectors, of which four fifths exist before it. One error in 64 deletes,
+    the others update; users are the tokens of inserts."""
     n = vectors(spark, sf_dir).count()
-    op = F.create_map(*(F.lit(x) for p in (("signup", "insert"), ("purchase", "update"), ("view", "set_metadata"), ("click", "add_metadata"), ("error", "delete")) for x in p))
-    e = read(spark, sf_dir, "events").where(F.col("event_id") < 2 * n)
-    rows = e.select(F.col("event_id").alias("seq"), op[F.col("event_type")].alias("op"), ((F.col("event_id") * 7) % n).alias("id"), (F.col("event_id") % n).alias("vsrc"), F.concat(F.lit("k"), (F.col("event_id") % 6).cast("string")).alias("tag"), (F.col("user_id") % 40).cast("string").alias("token"), (F.col("event_id") % 2).cast("string").alias("digest"))
+    op = F.create_map(*(F.lit(x) for p in (("signup", "insert"), ("purchase", "update"), ("view", "set_metadata"), ("click", "add_metadata"), ("error", "update")) for x in p))
+    op = F.when((F.col("event_type") == "error") & (F.col("event_id") % 64 == 0), "delete").otherwise(op[F.col("event_type")])
+    rows = read(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), op.alias("op"), ((F.col("event_id") * 7) % n).alias("id"), (F.col("event_id") % n).alias("vsrc"), F.concat(F.lit("k"), (F.col("event_id") % 6).cast("string")).alias("tag"), F.col("user_id").cast("string").alias("token"), (F.col("event_id") % 2).cast("string").alias("digest"))
     base = vectors(spark, sf_dir).where(F.col("id") < n * 4 // 5).select("id", F.col("id").alias("vsrc"))
     return rows, base
 
@@ -66,7 +69,7 @@ def log(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 VEC = "SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v, label FROM embeddings"
 UNIT = "SELECT id, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS v FROM vec"
-QRY = f"SELECT id AS qid, v AS q FROM unit WHERE id < {N_QUERIES}"
+QRY = f"SELECT id AS qid, v AS q FROM unit WHERE {IS_QUERY}"
 #: unit vectors and queries
 BASE = f"vec AS ({VEC}), unit AS MATERIALIZED ({UNIT}), qry AS MATERIALIZED ({QRY})"
 I8 = "list_transform({v}, lambda x: CAST(round_even(x * (127.0::DOUBLE / ({top} + 1e-9::DOUBLE)), 0) AS INTEGER))"
@@ -93,7 +96,7 @@ ASSIGN = (
 #: routed(qid, rank, cell, s) of all cells
 ROUTE = (
     "routed AS MATERIALIZED (SELECT qid, CAST(row_number() OVER (PARTITION BY qid ORDER BY s DESC, cell) AS INTEGER) AS rank, cell, s FROM "
-    "(SELECT id AS qid, cell, s FROM ranked WHERE id < " + str(N_QUERIES) + "))"
+    "(SELECT id AS qid, cell, s FROM ranked WHERE " + IS_QUERY + "))"
 )
 INDEX = f"{BASE}, {CELLS}, {ASSIGN}, {ROUTE}"
 SG = "[" + ", ".join(f"{s}.0::DOUBLE" for s in SIGNS) + "]"
@@ -123,8 +126,8 @@ def topk_sql(source: str, where: str = "true", k: int = TOP, ctes: str = "") ->
 #: log(seq, op, id, vsrc, tag, token, digest), base_n and the fold
 LOG = """
 n AS (SELECT count(*) AS n FROM embeddings),
-log AS MATERIALIZED (SELECT event_id AS seq, CASE event_type WHEN 'signup' THEN 'insert' WHEN 'purchase' THEN 'update' WHEN 'view' THEN 'set_metadata' WHEN 'click' THEN 'add_metadata' WHEN 'error' THEN 'delete' END AS op,
-  (event_id * 7) % n AS id, event_id % n AS vsrc, 'k' || (event_id % 6) AS tag, CAST(user_id % 40 AS VARCHAR) AS token, CAST(event_id % 2 AS VARCHAR) AS digest FROM events, n WHERE event_id < 2 * n),
+log AS MATERIALIZED (SELECT event_id AS seq, CASE WHEN event_type = 'signup' THEN 'insert' WHEN event_type = 'view' THEN 'set_metadata' WHEN event_type = 'click' THEN 'add_metadata' WHEN event_type = 'error' AND event_id % 64 = 0 THEN 'delete' ELSE 'update' END AS op,
+  (event_id * 7) % n AS id, event_id % n AS vsrc, 'k' || (event_id % 6) AS tag, CAST(user_id AS VARCHAR) AS token, CAST(event_id % 2 AS VARCHAR) AS digest FROM events, n),
 bn AS (SELECT n * 4 // 5 AS base_n FROM n),
 ins0 AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY token ORDER BY seq) AS k, first(digest) OVER (PARTITION BY token ORDER BY seq) AS d0 FROM log WHERE op = 'insert'),
 ins AS MATERIALIZED (SELECT seq, base_n + row_number() OVER (ORDER BY seq) - 1 AS id, vsrc, tag, token FROM ins0, bn WHERE k = 1),

@@ -20,6 +20,15 @@ def kind_of(path: str) -> np.dtype:
     return np.dtype("<f2" if path.endswith(".f16bin") else "<f4")
 
 
+def decode(raw: bytes, kind: np.dtype) -> np.ndarray:
+    """float32 values; infinities and NaNs of half precision become its largest finite value with their sign."""
+    x = np.frombuffer(raw, kind).astype(np.float32)
+    if kind.itemsize == 2:
+        bits = np.frombuffer(raw, "<u2")
+        x = np.where(bits & 0x7C00 == 0x7C00, np.where(bits & 0x8000, np.float32(-65504), np.float32(65504)), x)
+    return x
+
+
 class RowRange(InputPartition):
     def __init__(self, first: int, last: int):
         self.first, self.last = first, last
@@ -44,7 +53,7 @@ class VectorReader(DataSourceReader):
             for a in range(part.first, part.last, 8192):
                 b = min(a + 8192, part.last)
                 f.seek(HEADER + a * width)
-                x = np.frombuffer(f.read((b - a) * width), self.kind).astype(np.float32)
+                x = decode(f.read((b - a) * width), self.kind)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (b - a) * self.dim + 1, self.dim, dtype=np.int32)), pa.array(x))
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(a, b)), lists], ["id", "v"])
 
@@ -69,20 +78,37 @@ def read_vectors(spark: SparkSession, path: str, **options: int) -> DataFrame:
 
 
 def write_vectors(df: DataFrame, path: str, vec_col: str = "v", id_col: str = "id") -> int:
-    """Write rows in id order to one local file, streamed a partition at a time; the header goes last, so a torn file is invalid."""
-    kind, n, dim = kind_of(path), 0, 0
-    with open(path + ".part", "wb") as f:
-        f.write(b"\0" * HEADER)
-        for r in df.select(F.col(vec_col).alias("v")).orderBy(F.col(id_col)).toLocalIterator():
-            x = np.asarray(r.v, kind)
-            if dim and len(x) != dim:
-                raise ValueError("vectors differ in length")
-            n, dim = n + 1, len(x)
-            f.write(x.tobytes())
-        f.seek(0)
-        f.write(np.array([n, dim], "<u4").tobytes())
-    os.replace(path + ".part", path)
-    return n
+    """Write rows in id order to one file in a folder that the executors share: each task writes its range of rows at its place, the
+    driver the header last, so a torn file is invalid."""
+    from ..operators.live import allocate
+    from ..plans.store import settle
+
+    kind, part = kind_of(path), path + ".part"
+    rows = settle(allocate(df.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<float>").alias("v")), "id", 0), "vectors")
+    size = rows.agg(F.count(F.lit(1)).alias("n"), F.min(F.size("v")).alias("least"), F.max(F.size("v")).alias("most")).first()
+    if size.n and size.least != size.most:
+        raise ValueError("vectors differ in length")
+    dim = size.most or 0
+    with open(part, "wb") as f:
+        f.truncate(HEADER + size.n * dim * kind.itemsize)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = 0
+        with open(part, "r+b") as f:
+            for b in batches:
+                for at, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                    f.seek(HEADER + at * dim * kind.itemsize)
+                    f.write(np.asarray(v, kind).tobytes())
+                    n += 1
+            f.flush()
+            os.fsync(f.fileno())
+        yield pa.RecordBatch.from_arrays([pa.array([n])], ["n"])
+
+    rows.select("new_id", "v").repartitionByRange("new_id").sortWithinPartitions("new_id").mapInArrow(run, "n long").agg(F.sum("n")).collect()
+    with open(part, "r+b") as f:
+        f.write(np.array([size.n, dim], "<u4").tobytes())
+    os.replace(part, path)
+    return size.n
 
 
 def read_workload(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:

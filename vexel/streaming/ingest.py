@@ -50,6 +50,45 @@ def ingest(stream: DataFrame, log: MutationLog, checkpoint: str, after: Callable
     return stream.writeStream.foreachBatch(commit).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+class Maintenance:
+    """What runs after each batch in the single writer: pack once ``pack_rows`` rows wait unpacked, compact once the log holds
+    ``compact_rows``. A pack splits to the end before the next batch is taken, so writers wait for overflowing cells. The first
+    error is kept and raised again at each later call."""
+
+    def __init__(self, collection, pack_rows: int = 100_000, compact_rows: int = 1_000_000):
+        if pack_rows < 1 or compact_rows < 1:
+            raise ValueError("thresholds are positive")
+        self.collection, self.pack_rows, self.compact_rows = collection, pack_rows, compact_rows
+        self.packs = self.compactions = 0
+        self.error: Exception | None = None
+
+    def __call__(self, df: DataFrame | None = None, batch: int = 0) -> None:
+        if self.error is not None:
+            raise RuntimeError("maintenance stopped after an error") from self.error
+        try:
+            if self.collection.stats()["log_rows"] >= self.compact_rows:
+                self.collection.compact()
+                self.compactions += 1
+            if self.collection.unpacked() >= self.pack_rows:
+                self.collection.pack()
+                self.packs += 1
+        except Exception as e:
+            self.error = e
+            raise
+
+
+def ingest_collection(stream: DataFrame, collection, checkpoint: str, after: Maintenance | None = None) -> StreamingQuery:
+    """Stream rows (seq, v[, meta, nums], key) into a collection. Rows carry keys, so a batch that is tried again after a crash gets the
+    ids it had."""
+
+    def commit(df: DataFrame, batch: int) -> None:
+        collection.insert_frame(df)
+        if after is not None:
+            after(df, batch)
+
+    return stream.writeStream.foreachBatch(commit).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def replay(spark: SparkSession, rows: DataFrame, files: int = 4) -> DataFrame:
     """Land ``rows`` as files, stream them into a new log one file a batch, and read the log back."""
     root = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"

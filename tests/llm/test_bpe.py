@@ -41,6 +41,27 @@ def test_pair_rule_is_the_merge_rule():
             assert own._apart(a, b) == (own.merge(x + y) == [x, y])
 
 
+def test_prefixes_are_shared_between_batches_and_the_trie_may_start_anew(monkeypatch):
+    lib, r = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), random.Random(11)
+    texts = [" ".join("".join(r.choices("abeinrst\u00e9", k=r.randint(1, 9))) for _ in range(30)) for _ in range(60)]
+    own = bpe.Bpe(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+    own.encode_batch(["international"])
+    nodes = len(own.last)
+    own.encode_batch(["internationally interning"])
+    assert len(own.last) - nodes == len("ly") + len(" interning")  # a shared prefix makes no nodes
+    for most in (bpe.TRIE_NODES, 40):
+        monkeypatch.setattr(bpe, "TRIE_NODES", most)
+        own.known.clear()
+        for t in texts:
+            assert np.frombuffer(own.encode_batch([t])[0], "<u4").tolist() == lib.encode(t, add_special_tokens=False).ids
+        assert most > 40 or len(own.last) < 100
+
+
+def test_null_ids_and_repeats_keep_their_rows(spark):
+    out = bpe.encode(frame(spark, ["a b", "a b", None], ids=[None, 4, 4])).collect()
+    assert sorted((str(x.id), x.n_tokens) for x in out) == [("4", 0), ("4", 2), ("None", 2)]
+
+
 def test_round_trip_and_empty(spark):
     df = frame(spark, ["héllo  wörld\n", "x", None])
     assert sorted(x.text for x in bpe.decode(bpe.encode(df)).collect()) == ["", "héllo  wörld\n", "x"]

@@ -1,12 +1,14 @@
 """Byte-pair encoding and decoding by a prefix-sharing trie traversal.
 
-The distinct words of a batch are put in byte order, which is the depth-first order of their trie. Walking it, a stack holds
-for every prefix on the current path the last token of that prefix's encoding; a shared prefix is never encoded twice. Token
-``t`` is the last one of prefix ``p`` exactly if ``t`` encodes to itself and the pair (last token of ``p`` without ``t``, ``t``)
-encodes to itself; the candidates, tokens that end ``p``, come from an automaton over the vocabulary.
+Distinct words are put into a trie, in byte order and so depth first. Each node holds the last token of the encoding of its prefix and
+the state of an automaton over the vocabulary, so a prefix is encoded once, from its parent's state, however many words share
+it: also words of later batches, as the trie stays (up to ``TRIE_NODES`` nodes). Token ``t`` is the last one of prefix ``p`` exactly if
+``t`` encodes to itself and the pair (last token of ``p`` without ``t``, ``t``) encodes to itself; the candidates, tokens that
+end ``p``, are those of the automaton's state.
 
 Defined results: null and empty texts have no tokens. Strings of added tokens become their ids, as the tokenizer file says.
-Texts of any length are encoded whole; a word of any length costs time in proportion to it. Extra columns are ignored.
+Texts of any length are encoded whole; a word of any length costs time in proportion to it. Rows that repeat or have null ids keep
+their rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -15,7 +17,6 @@ import hashlib
 import json
 from collections.abc import Iterator
 
-import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
@@ -25,7 +26,9 @@ from pyspark.sql import functions as F
 from .common import rows_as_bytes, text_batches
 
 #: Words whose encodings a worker keeps between batches.
-KEPT_WORDS = 500_000
+KEPT_WORDS = 300_000
+#: Nodes above which the trie starts anew.
+TRIE_NODES = 400_000
 
 
 def byte_chars() -> dict[str, int]:
@@ -35,6 +38,45 @@ def byte_chars() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
+class Endings:
+    """An automaton whose states tell the words of a vocabulary that end there, the longest first."""
+
+    def __init__(self, vocab: dict[bytes, int]):
+        self.next: dict[int, int] = {}  # state * 256 + byte; what fails is added when it is met
+        self.found: list[tuple[tuple[int, int], ...]] = [()]  # of each state: (word, its length)
+        for word, ident in vocab.items():
+            s = 0
+            for c in word:
+                t = self.next.get(s << 8 | c)
+                if t is None:
+                    t = self.next[s << 8 | c] = len(self.found)
+                    self.found.append(())
+                s = t
+            self.found[s] = ((ident, len(word)),)
+        children: dict[int, list[tuple[int, int]]] = {}
+        for k, t in self.next.items():
+            children.setdefault(k >> 8, []).append((k & 255, t))
+        self.fail = [0] * len(self.found)
+        level = [t for _, t in children.get(0, ())]
+        while level:
+            nxt = []
+            for s in level:
+                self.found[s] += self.found[self.fail[s]]
+                for c, t in children.get(s, ()):
+                    self.fail[t] = self.step(self.fail[s], c)
+                    nxt.append(t)
+            level = nxt
+
+    def step(self, s: int, c: int) -> int:
+        key = s << 8 | c
+        t = self.next.get(key)
+        if t is None:
+            t = self.step(self.fail[s], c) if s else 0
+            if len(self.next) < 4_000_000:
+                self.next[key] = t
+        return t
+
+
 class Bpe:
     def __init__(self, path: str, pattern: str):
         with open(path, encoding="utf-8") as f:
@@ -51,10 +93,8 @@ class Bpe:
         self.bytes_of = {v: k for k, v in vocab.items()} | {v: k.encode() for k, v in self.added.items()}
         self.code = {v: v.to_bytes(4, "little") for v in self.bytes_of}
         self.size = {v: len(k) for v, k in ((v, k) for k, v in vocab.items())}
-        self.ends = ahocorasick.Automaton()
-        for k, v in vocab.items():
-            self.ends.add_word(k.decode("latin-1"), v)
-        self.ends.make_automaton()
+        self.ends = Endings(vocab)
+        self.reset()
         self.words = regex.compile(pattern)
         self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.parts: dict[bytes, tuple[bytes, bytes]] = {}
@@ -89,9 +129,7 @@ class Bpe:
         if ok is None:
             t = self.bytes_of[tok]
             ok = self.alone[tok] = self.merge(t) == [t]
-        if not ok or prev < 0:
-            return ok
-        ok = self._apart(prev, tok)
+        ok = ok and (prev < 0 or self._apart(prev, tok))
         if len(self.pairs) > 1_000_000:
             self.pairs.clear()
         self.pairs[prev, tok] = ok
@@ -127,39 +165,54 @@ class Bpe:
             else:
                 j += 1
 
+    def reset(self) -> None:
+        """An empty trie: children by node * 256 + byte; of each node the automaton's state and the last token of its prefix."""
+        self.child: dict[int, int] = {}
+        self.state, self.last = [0], [-1]
+        self.path, self.before = [0], b""  # the nodes on the way to the last word
+
     def encode_sorted(self, words: list[bytes]) -> Iterator[bytes]:
         """Ids of each of the words, which are in byte order, as little-endian 32-bit integers."""
-        last: list[int] = []  # last[i]: the last token of the encoding of the first i + 1 bytes
-        size, pairs, ok_of, code, ends = self.size, self.pairs, self._ok, self.code, self.ends
-        before = b""
+        size, pairs, ok_of, code, found, step = self.size, self.pairs, self._ok, self.code, self.ends.found, self.ends.step
+        jump = self.ends.next.get
         for w in words:
+            if len(self.last) > TRIE_NODES:
+                self.reset()
+            child, state, last, path, before = self.child, self.state, self.last, self.path, self.before
             n = min(len(w), len(before))
-            if w[:n] == before[:n]:
-                shared = n
-            else:
-                shared = 0
-                while w[shared] == before[shared]:
-                    shared += 1
-            del last[shared:]
-            have = shared
-            for end, tok in ends.iter(w.decode("latin-1")):
-                if end < have:
-                    continue
-                at = end - size[tok]
-                prev = last[at] if at >= 0 else -1
-                ok = pairs.get((prev, tok))
-                if ok is None:
-                    ok = ok_of(prev, tok)
-                if ok:
+            if w[:n] != before[:n]:
+                n = next(i for i in range(n) if w[i] != before[i])
+            del path[n + 1 :]
+            node = path[n]
+            for at in range(n, len(w)):
+                c = w[at]
+                key = node << 8 | c
+                to = child.get(key)
+                if to is None:
+                    s = jump(state[node] << 8 | c)
+                    if s is None:
+                        s = step(state[node], c)
+                    for tok, length in found[s]:
+                        prev = last[path[at + 1 - length]]  # the root's is -1
+                        ok = pairs.get((prev, tok))
+                        if ok is None:
+                            ok = ok_of(prev, tok)
+                        if ok:
+                            break
+                    else:
+                        raise ValueError("a byte is no token")
+                    to = child[key] = len(last)
+                    state.append(s)
                     last.append(tok)
-                    have += 1
-            out, i = [], len(w) - 1
-            while i >= 0:
-                t = last[i]
+                path.append(to)
+                node = to
+            self.before = w
+            out, i = [], len(w)
+            while i:
+                t = last[path[i]]
                 out.append(code[t])
                 i -= size[t]
             out.reverse()
-            before = w
             yield b"".join(out)
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:

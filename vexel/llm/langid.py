@@ -33,7 +33,7 @@ BUCKETS = 1 << 15
 SAMPLE = 300
 CENTROIDS = 4
 #: Share of a language's own low cosines at a length under which a text is rejected.
-REJECT = 0.75
+REJECT = 0.5
 _STEP = 1 << 20
 
 _LETTERS: np.ndarray | None = None

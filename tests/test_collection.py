@@ -1,3 +1,4 @@
+import hashlib
 import json
 import threading
 
@@ -5,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from vexel.operators import ivf, split
 from vexel.plans import backup
 from vexel.plans import calibrate as C
 from vexel.plans.collection import BatchError, Collection, IdempotencyConflict, SearchParams
@@ -233,3 +235,127 @@ def test_service(spark, tmp_path):
     finally:
         server.shutdown()
         server.server_close()
+
+
+def rows_of(spark, x, first=0, keys=None, order=None):
+    order = order or list(range(len(x)))
+    data = [(order[i], [float(y) for y in v], {"g": ["a" if i % 2 else "b"], "n": [str(i)]}, {"n": [i]}, keys[i] if keys else None) for i, v in enumerate(x)]
+    return spark.createDataFrame(data, "seq long, v array<float>, meta map<string,array<string>>, nums map<string,array<bigint>>, key string")
+
+
+def test_frames_do_what_lists_do(spark, tmp_path):
+    x, q = normals(40, 8, 11), frame(spark, normals(3, 8, 12))
+    a, b = (Collection.create(spark, str(tmp_path / n), 8) for n in "ab")
+    keys = [f"k{i}" if i % 3 else None for i in range(40)]
+    a.insert_batch(x, [{"g": "a" if i % 2 else "b", "n": i} for i in range(40)], keys)
+    got = b.insert_frame(rows_of(spark, x, keys=keys)).orderBy("seq").collect()
+    assert [(r.seq, r.id) for r in got] == [(i, i) for i in range(40)] and b.count == 40
+    again = {r.seq: r.id for r in b.insert_frame(rows_of(spark, x, keys=keys)).collect()}  # keyed rows get their ids, the others new ones
+    assert all(again[i] == i for i in range(40) if keys[i]) and sorted(again[i] for i in range(40) if not keys[i]) == list(range(40, 54))
+    b.delete_frame(spark.range(40, 54))
+    for c in (a, b):
+        c.add_metadata(range(0, 40, 4), {"t": "x"}) if c is a else c.add_metadata_frame(spark.range(0, 40, 4), {"t": "x"})
+        c.add_metadata([1], {"n": 500}) if c is a else c.add_metadata_frame(spark.range(1, 2), {"n": 500})
+        c.delete(2, 3) if c is a else c.delete_frame(spark.range(2, 4))
+        c.set_metadata(5, {"g": "z"}) if c is a else c.set_metadata_frame(spark.createDataFrame([(5, {"g": ["z"]})], "id long, meta map<string,array<string>>"))
+        c.update(6, x[7], {"g": "new"}) if c is a else c.update_frame(spark.createDataFrame([(6, [float(y) for y in x[7]], {"g": ["new"]})], "id long, v array<float>, meta map<string,array<string>>"))
+    flat = lambda c: sorted((r.id, {k: sorted(v) for k, v in r.meta.items()}, {k: sorted(v) for k, v in r.nums.items() if v}, [round(y, 6) for y in r.v]) for r in c.state().where("not deleted").collect())
+    assert flat(a) == flat(b) and a.keys() == b.keys()
+    for where in (None, {"t": "x"}, {"n": ("range", 100, 600)}, {"g": ("re", "^(z|ne)")}, {"g": "a", "t": ("exists",)}):
+        assert found(a.search(q, 5, where)) == found(b.search(q, 5, where))
+    before = b.count
+    for bad, error in ((lambda: b.delete_frame(spark.range(99, 100)), OSError), (lambda: b.add_metadata_frame(spark.range(2, 5), {"t": "y"}), OSError), (lambda: b.insert_frame(rows_of(spark, x[:1] * np.nan)), ValueError)):
+        with pytest.raises(error):
+            bad()
+    with pytest.raises(BatchError) as e:
+        b.insert_frame(rows_of(spark, x[[0, 1, 9]], keys=["new", "k1", "k2"]))  # k1 comes with its payload of then only by its vector
+    assert b.count == before + 1 and e.value.committed_ids[0] == before
+    with pytest.raises(ValueError):
+        b.keys(most=2)
+
+
+def test_stream_with_maintenance(spark, tmp_path):
+    x = normals(120, 8, 13)
+    c = Collection.create(spark, str(tmp_path / "c"), 8, cell_capacity=64)
+    rows_of(spark, x, keys=[f"k{i}" for i in range(120)]).repartitionByRange(3, "seq").write.parquet(str(tmp_path / "in"))
+    from vexel.registry.collection_queries import BATCH
+    from vexel.streaming.ingest import Maintenance, ingest_collection
+
+    keep = Maintenance(c, pack_rows=30, compact_rows=70)
+    stream = lambda: spark.readStream.schema(BATCH).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    ingest_collection(stream(), c, str(tmp_path / "ck"), keep).awaitTermination()
+    assert c.count == 120 and keep.packs >= 1 and keep.compactions >= 1 and c.unpacked() < 30
+    ingest_collection(stream(), c, str(tmp_path / "ck2"), keep).awaitTermination()  # all batches once more: their keys are known
+    assert c.count == 120
+    q = normals(3, 8, 14)
+    seq = {hashlib.sha256(f"k{i}".encode()).hexdigest(): i for i in range(120)}  # files arrive in any order, so ids are told by their keys
+    seq_of = {r.id: seq[r.token] for r in c._ledger().collect()}
+    assert [[seq_of[i] for i in row] for row in found(c.search(frame(spark, q), 5, params=SearchParams(1000, 1000, exact_limit=0)))] == brute(x, q, 5)
+    keep.collection = None
+    with pytest.raises(AttributeError):
+        keep()
+    keep.collection = c
+    with pytest.raises(RuntimeError):
+        keep()
+
+
+def test_blocks_of_cells_equal_one_block(spark):
+    x = frame(spark, normals(300, 8, 15), ("id", "v"))
+    cells, old = ivf.cells(x, list(range(40))), ivf.cells(x, list(range(50, 58)))
+    assert len(list(ivf.cell_blocks(cells, 64))) > 4
+    rows = lambda df: sorted(tuple(r) for r in df.collect())
+    q = x.select(F.col("id").alias("qid"), F.col("v").alias("q"))
+    for one, many in ((ivf.assign(x, cells, 3), ivf.assign(x, cells, 3, limit=64)), (ivf.route(q, cells, 7), ivf.route(q, cells, 7, limit=64)), (ivf.neighbours(old, cells, 6), ivf.neighbours(old, cells, 6, limit=64))):
+        assert rows(one) == rows(many)
+    near = ivf.neighbours(old, cells, 6)
+    assert rows(ivf.assign_through(x, old, near, cells, 2)) == rows(ivf.assign_through(x, old, near, cells, 2, limit=64))
+    every = ivf.neighbours(old, cells, 40)
+    assert rows(ivf.assign_through(x, old, every, cells, 2)) == rows(ivf.assign(x, cells, 2))
+    centres = np.array([r.q8 for r in cells.orderBy("cell").collect()], np.int8)
+    assert rows(split.attach(x, centres)) == rows(split.attach(x, centres, limit=64))
+    far = spark.createDataFrame([(3_000_000_000, [1.0] * 8), (4_000_000_000, [0.5, 1.0] * 4)], "id long, v array<double>")
+    assert [r.cell for r in ivf.cells(far, [4_000_000_000, 3_000_000_000]).orderBy("cell").collect()] == [0, 1]
+
+
+def test_codes_are_bound_resumed_and_checked(spark, tmp_path):
+    x = normals(200, 8, 16)
+    c = Collection.build_index(spark, str(tmp_path / "c"), frame(spark, x, ("id", "v")), 8, 1e9, 2, 7)
+    c.build_residual(ranges=4)
+    parts = sorted((tmp_path / "c").glob("codes-*/cells-*"))
+    assert len(parts) == 4
+    times = {p: (p / "_SUCCESS").stat().st_mtime_ns for p in parts}
+    (parts[1] / "_SUCCESS").unlink()  # as if the build had died there
+    c.build_residual(ranges=4)
+    assert {p for p in parts if (p / "_SUCCESS").stat().st_mtime_ns != times[p]} == {parts[1]}
+    opened = Collection.open(spark, str(tmp_path / "c"), validate=True)
+    q = normals(4, 8, 17)
+    assert found(opened.search(frame(spark, q), 5, params=SearchParams(8, 200, exact_limit=0))) == brute(x, q, 5)
+    c._publish(index={**c.m["index"], "seed": 8})
+    with pytest.raises(OSError):
+        Collection.open(spark, str(tmp_path / "c"))
+    c._publish(index={**c.m["index"], "seed": 7, "k": 9, "codes": None, "codes_for": None})
+    with pytest.raises(OSError):
+        Collection.open(spark, str(tmp_path / "c"), validate=True)
+
+
+def test_calibration_of_a_collection(spark, tmp_path):
+    x, q = normals(300, 8, 18), normals(40, 8, 19)
+    c = Collection.build_index(spark, str(tmp_path / "c"), frame(spark, x, ("id", "v")), 16, 0.2, 2, 7)
+    truth = spark.createDataFrame([(i, k + 1, j) for i, near in enumerate(brute(x, q, 5)) for k, j in enumerate(near)], "qid long, rank int, id long")
+    parts = lambda group: spark.createDataFrame([(i, [float(y) for y in v], "calibration" if i % 2 else "validation", group(i)) for i, v in enumerate(q)], "qid long, q array<double>, partition string, grp string")
+    m = C.measure_collection(c, parts(lambda i: ""), truth)
+    few, all_ = m("train", 1, 100), m("train", 16, 300)
+    assert few.routed < 1 and few.recall == pytest.approx(few.routed) and (all_.recall, all_.routed) == (1.0, 1.0) and len(few.recalls) == 20
+    p = C.autocalibrate(m, (1, 100), (16, 300), 0.9, c.fingerprint())
+    assert p.status == "validated" and p.configuration["rerank"] == 100 and 1 < p.configuration["nprobe"] <= 16
+    used = SearchParams.from_profile(p, c.fingerprint())
+    assert used.nprobe == p.configuration["nprobe"]
+    with pytest.raises(ValueError):
+        C.measure_collection(c, parts(lambda i: "one"), truth)
+    c.delete(3)
+    with pytest.raises(ValueError):
+        C.measure_collection(c, parts(lambda i: ""), truth)
+    with pytest.raises(ValueError):
+        c.search(frame(spark, q), 5, params=SearchParams(4, 100, top_k=4))
+    with pytest.raises(MemoryError):
+        c.search(frame(spark, q), 5, params=SearchParams(4, 100, max_bytes=1000))

@@ -1,6 +1,7 @@
 import hashlib
 import json
 import threading
+from functools import partial
 
 import numpy as np
 import pytest
@@ -97,8 +98,6 @@ def test_mutations_filters_and_maintenance(spark, tmp_path):
 
 
 def test_frozen_index_live_tier_and_splits(spark, tmp_path):
-    from vexel.plans import collection as mod
-
     x, q = normals(400, 16, 3), normals(4, 16, 4)
     Q = frame(spark, q)
     c = Collection.build_index(spark, str(tmp_path / "c"), frame(spark, x[:300], ("id", "v")), k=8, m=2, eps=9.0)
@@ -111,27 +110,24 @@ def test_frozen_index_live_tier_and_splits(spark, tmp_path):
     c.update(7, y[7])
     c.delete(11, 310)
     alive = set(range(400)) - {11, 310}
-    old, mod.EXACT_LIMIT = mod.EXACT_LIMIT, 10  # take the cells
-    try:
-        full = SearchParams(8, 400)
-        want = brute(y, q, 10, alive)
-        assert found(c.search(Q, 10, params=full)) == want
-        c.build_residual()
-        assert found(c.search(Q, 10, params=full)) == want  # exhaustive budgets: codes change nothing
-        assert found(c.search(Q, 10, params=SearchParams(8, 60))) == want  # 4-bit codes: a rerank of 60 still holds the best ten
-        stats = c.pack()
-        assert stats["largest_cell"] <= c.cell_capacity and stats["entries"] == 2 * 100
-        assert found(c.search(Q, 10, params=SearchParams(1000, 400))) == want
-        c.insert(q[0])
-        assert found(c.search(Q, 1, params=full))[0] == [400]
-        some = c.recall(Q, 10, SearchParams(2, 400)).agg(F.avg("recall")).first()[0]
-        assert 0.2 < some <= 1
-        adaptive = SearchParams(8, 400, minimum=2, gap=0.3, code_bytes=10_000)
-        assert c.search(Q, 10, params=adaptive).count() == 40
-        c.compact()
-        assert found(c.search(Q, 10, params=SearchParams(1000, 400)))[1:] == want[1:]
-    finally:
-        mod.EXACT_LIMIT = old
+    P = partial(SearchParams, exact_limit=10)  # take the cells
+    full = P(8, 400)
+    want = brute(y, q, 10, alive)
+    assert found(c.search(Q, 10, params=full)) == want
+    c.build_residual()
+    assert found(c.search(Q, 10, params=full)) == want  # exhaustive budgets: codes change nothing
+    assert found(c.search(Q, 10, params=P(8, 60))) == want  # 4-bit codes: a rerank of 60 still holds the best ten
+    stats = c.pack()
+    assert stats["largest_cell"] <= c.cell_capacity and stats["entries"] == 2 * 100
+    assert found(c.search(Q, 10, params=P(1000, 400))) == want
+    c.insert(q[0])
+    assert found(c.search(Q, 1, params=full))[0] == [400]
+    some = c.recall(Q, 10, P(2, 400)).agg(F.avg("recall")).first()[0]
+    assert 0.2 < some <= 1
+    adaptive = P(8, 400, minimum=2, gap=0.3, code_bytes=10_000)
+    assert c.search(Q, 10, params=adaptive).count() == 40
+    c.compact()
+    assert found(c.search(Q, 10, params=P(1000, 400)))[1:] == want[1:]
     print(c.fingerprint())
     with pytest.raises(ValueError):
         SearchParams.from_profile(C.Profile("x", {"nprobe": 1, "rerank": 1}, "validated", [], True), c.fingerprint())

@@ -157,3 +157,47 @@ def test_groups_of_copies_and_hot_lines(spark, monkeypatch):
                 lo, hi = sorted((comp[i], comp[j]))
                 comp = [lo if c == hi else c for c in comp]
     assert out == dict(enumerate(comp))
+
+
+def test_stage_takes_its_candidates_from_simhash(spark, monkeypatch):
+    """Without any other keys: texts within the bits that the blocks cover link exactly when they are 0.8 similar, and none below it does."""
+    monkeypatch.setattr(simhash, "set_keys", lambda h: h[:0])
+    r = random.Random(12)
+    texts = []
+    for k in range(60):
+        t = [f"s{r.randrange(4000)}" for _ in range(r.choice([40, 300, 1200]))]
+        texts += [" ".join(t), " ".join("new" if i % (len(t) // (k % 4 + 1)) == 7 else w for i, w in enumerate(t)), " ".join(t[: len(t) * 7 // 10])]
+    texts += ["one", "two", "one two three", ""]
+    sets = [shingles(t) for t in texts]
+    prints = []
+    for s in sets:
+        h = np.array([xxhash.xxh64_intdigest(" ".join(x), 42) for x in s if x], np.uint64)
+        words = [simhash._mix(h, w) if w else h for w in range(8)]
+        prints.append([sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in w.tolist()) > len(w)) for w in words])
+    out = {x.id: x.component_id for x in simhash.wide_near_duplicates(frame(spark, texts)).collect()}
+    found = [0, 0]
+    for i in range(len(texts)):
+        for j in range(i):
+            bits = sum((x ^ y).bit_count() for x, y in zip(prints[i], prints[j]))
+            same = similar(sets[i], sets[j])
+            if same and bits < 32:
+                found[0] += 1
+                assert out[i] == out[j], (i, j, bits)
+            if same and bits >= 32:
+                found[1] += out[i] == out[j]
+            assert same or out[i] != out[j], (i, j, bits)
+    assert found[0] > 20 and found[1] > 10
+
+
+def test_groups_of_near_copies_give_spanning_links(spark):
+    """A bucket in which nearly all rows are within the bits: components as by brute force, no more links than rows."""
+    r = random.Random(4)
+    rows = [(i, (i % 3 << 40) | 1 << r.randrange(30)) for i in range(700)] + [(700 + i, (1 << 60) - 1 << 2 ^ 1 << 8 * i) for i in range(6)]
+    df = spark.createDataFrame(rows, "id long, fp0 long")
+    from pyspark.sql import functions as F
+
+    links = simhash.hamming_links(df, lambda p: p.withColumn("key", F.lit(1).cast("long")), 1, 2).collect()
+    want = slow_components(dict(rows), 2)
+    comp = simhash.components(spark.createDataFrame([(x.a, x.b) for x in links], "a long, b long"))
+    comp = {x.node: x.component for x in comp.collect()}
+    assert {i: comp.get(i, i) for i, _ in rows} == want and len(links) < len(rows)

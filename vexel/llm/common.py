@@ -179,12 +179,17 @@ def hamming_links(prints: DataFrame, keys_of: Callable[[DataFrame], DataFrame],
                 at = at[left[at] > s]
             for g in np.flatnonzero(~small):
                 lo, hi = bounds[g], bounds[g + 1]
+                of = np.arange(lo, hi)  # trees inside the group: in a group of near copies the first rows join the rest
                 for r in range(lo, hi, 128):
                     e = min(r + 128, hi)
                     d = sum(popcount(f[r:e, None] ^ f[None, r:hi]).astype(np.int16) for f in fp)
-                    i, j = np.nonzero(d <= most)
-                    keep = j > i
-                    add(i[keep] + r, j[keep] + r)
+                    ok = np.triu(d <= most, 1)
+                    for i in np.flatnonzero(ok.any(axis=1)).tolist():
+                        mine, j = of[i + r - lo], np.flatnonzero(ok[i])
+                        roots, at = np.unique(of[j + r - lo], return_index=True)
+                        if len(at := at[roots != mine]):
+                            add(np.full(len(at), i + r), j[at] + r)
+                            of[np.isin(of, roots)] = mine
             if out:
                 a, b = zip(*out)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])

@@ -68,7 +68,7 @@ def live_merge_topk(spark, d):
     frozen, moved = _tiers(spark, d)
     q = W.queries(spark, d)
     parts = [topk.exact_top_k(t, q, W.TOP) for t in (frozen, moved)]
-    return topk.rank(live.merge(*parts), W.TOP).select("qid", "rank", "id", F.round("score", 6).alias("score"))
+    return topk.rank(live.merge(*parts), W.TOP, digits=topk.DIGITS).select("qid", "rank", "id", F.round("score", 6).alias("score"))
 
 
 def live_tail_search(spark, d):
@@ -77,8 +77,8 @@ def live_tail_search(spark, d):
     q, packed, tail = W.queries(spark, d), moved.where("id % 2 = 0"), moved.where("id % 2 = 1")
     cells = W.cells(spark, d)
     by_cells = ivf.search(q, packed, ivf.assign(packed, cells, W.M), cells, W.K, W.TOP)
-    out = live.merge(topk.exact_top_k(frozen, q, W.TOP), by_cells, topk.exact_top_k(tail, q, W.TOP)).withColumn("score", F.round("score", 12))  # equal vectors tie whichever path scored them
-    return topk.rank(out, W.TOP).select("qid", "rank", "id", F.round("score", 6).alias("score"))
+    out = live.merge(topk.exact_top_k(frozen, q, W.TOP), by_cells, topk.exact_top_k(tail, q, W.TOP))
+    return topk.rank(out, W.TOP, digits=topk.DIGITS).select("qid", "rank", "id", F.round("score", 6).alias("score"))
 
 
 def live_compact_equivalence(spark, d):

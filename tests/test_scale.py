@@ -78,3 +78,40 @@ def test_codes_keep_the_same_entries_in_any_tile(spark, tables, monkeypatch):
     monkeypatch.setattr(topk, "TILE", 50)
     monkeypatch.setattr(topk, "WIDE", 7)
     assert run() == want and all(want)
+
+
+def test_cells_are_searched_without_a_row_for_each_pair(spark, tables, monkeypatch):
+    v, q, cells, assigned, routed = tables
+    near = {n: {} for n in (3, 8)}
+    for n in near:
+        of = {}
+        for r in assigned.collect():
+            of.setdefault(r.cell, set()).add(r.id)
+        for r in routed.where(F.col("rank") <= n).collect():
+            near[n].setdefault(r.qid, set()).update(of[r.cell])
+    monkeypatch.setattr(ivf, "probe", None)
+    for n in near:
+        want = brute(10, lambda x: near[n][x])
+        assert [r[:3] for r in rows(ivf.search(q, v, assigned, cells, n, 10))] == want
+        blocks = topk.scan_cells(routed.where(F.col("rank") <= n), assigned.join(v, "id"), q, 10)
+        with monkeypatch.context() as m:
+            m.setattr(topk, "QUERY_BYTES", 3000)
+            assert len(list(topk.probed_blocks(routed, q, 160))) > 1
+            more = topk.scan_cells(routed.where(F.col("rank") <= n), assigned.join(v, "id"), q, 10)
+            for found in (blocks, more):
+                assert [r[:3] for r in rows(topk.rank(found, 10, digits=12).select("qid", "rank", "id"))] == want
+
+
+def test_counters_and_losses_equal_the_join_of_probes_and_entries(spark, tables):
+    v, q, cells, assigned, routed = tables
+    probes = routed.where("rank <= 4")
+    pairs = probes.join(assigned, "cell")
+    want = pairs.groupBy("qid").agg(F.count(F.lit(1)).alias("e"), F.countDistinct("id").alias("d"))
+    got = ivf.entry_counters(probes, assigned)
+    assert rows(got) == rows(want)
+    assert "distinct id" not in got._jdf.queryExecution().optimizedPlan().toString()  # no pair of query and entry is made to be counted
+    truth = topk.exact_top_k(v, q, 10).select("qid", "id")
+    assert rows(ivf.first_rank(truth, routed, assigned)) == rows(routed.join(assigned, "cell").groupBy("qid", "id").agg(F.min("rank")).join(truth, ["qid", "id"], "left_semi"))
+    lost = {r.qid: (r.watched, r.routed, r.candidates) for r in ivf.losses(truth, probes, assigned).collect()}
+    hit = {r.qid: r.n for r in pairs.select("qid", "id").distinct().join(truth, ["qid", "id"]).groupBy("qid").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert lost == {x: (10, hit.get(x, 0), hit.get(x, 0)) for x in range(0, 400, 20)}

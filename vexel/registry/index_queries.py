@@ -70,20 +70,13 @@ def ivf_entries_counters(spark, d):
     return ivf.entry_counters(ivf.route(W.queries(spark, d), W.cells(spark, d), 4), W.assigned(spark, d))
 
 
-def _hits(spark, d, most):
-    """(qid, id, rank, score): the entries of the first ``most`` cells with the best rank that holds each id: one search for all nprobe."""
-    routed = ivf.route(W.queries(spark, d), W.cells(spark, d), most)
-    hit = routed.select("qid", "rank", "cell").join(W.assigned(spark, d).select("id", "cell"), "cell").groupBy("qid", "id").agg(F.min("rank").alias("rank"))
-    return hit
-
-
 STEPS = (1, 2, 4, 8, 16)
 
 
 def recalls(spark, d):
     """(nprobe, qid, recall) of each step; a search's scores in cells are exact, so a neighbour is found once its cell is probed."""
     truth = settle(topk.exact_top_k(W.vectors(spark, d), W.queries(spark, d), W.TOP).select("qid", "id"), "truth")
-    hit = settle(_hits(spark, d, W.K), "hits")
+    hit = settle(ivf.first_rank(truth, ivf.route(W.queries(spark, d), W.cells(spark, d), W.K), W.assigned(spark, d)), "hits")
     parts = [ivf.recall(hit.where(F.col("rank") <= n), truth, W.TOP).withColumn("nprobe", F.lit(n)) for n in STEPS]
     return reduce(lambda a, b: a.unionByName(b), parts)
 
@@ -96,8 +89,8 @@ def ivf_diagnose_losses(spark, d):
     """Losses by routing (4 cells) and by a candidate cap of 20 entries ranked by exact score."""
     truth = topk.exact_top_k(W.vectors(spark, d), W.queries(spark, d), W.TOP)
     probes = ivf.route(W.queries(spark, d), W.cells(spark, d), 4)
-    hit = ivf.probe(probes, W.assigned(spark, d)).join(W.vectors(spark, d).select("id", V.unit(F.col("v")).alias("v")), "id").join(W.queries(spark, d), "qid")
-    kept = topk.rank(hit.select("qid", "id", F.round(V.dot(F.col("q"), F.col("v")), 9).alias("score"), "cell"), 20)
+    entries = W.assigned(spark, d).select("id", "cell").join(W.vectors(spark, d).select("id", "v"), "id")
+    kept = topk.rank(topk.scan_cells(probes, entries, W.queries(spark, d), 20, distinct=False, digits=9), 20, digits=9)
     return ivf.losses(truth, probes, W.assigned(spark, d), kept)
 
 

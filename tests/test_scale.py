@@ -115,3 +115,14 @@ def test_counters_and_losses_equal_the_join_of_probes_and_entries(spark, tables)
     lost = {r.qid: (r.watched, r.routed, r.candidates) for r in ivf.losses(truth, probes, assigned).collect()}
     hit = {r.qid: r.n for r in pairs.select("qid", "id").distinct().join(truth, ["qid", "id"]).groupBy("qid").agg(F.count(F.lit(1)).alias("n")).collect()}
     assert lost == {x: (10, hit.get(x, 0), hit.get(x, 0)) for x in range(0, 400, 20)}
+
+
+def test_ids_are_numbered_once_where_ranges_come_from_a_sample(spark):
+    old = spark.conf.get("spark.sql.execution.rangeExchange.sampleSizePerPartition")
+    spark.conf.set("spark.sql.execution.rangeExchange.sampleSizePerPartition", "1")
+    try:
+        df = spark.range(0, 20_000, 1, 5).select((F.col("id") * 3).alias("seq"), F.col("id").cast("string").alias("other"))
+        got = live.allocate(df, "seq", 7)
+        assert got.where("new_id <> seq / 3 + 7 or new_id is null").count() == 0 and got.select("new_id").distinct().count() == 20_000
+    finally:
+        spark.conf.set("spark.sql.execution.rangeExchange.sampleSizePerPartition", old)

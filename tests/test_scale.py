@@ -126,3 +126,22 @@ def test_ids_are_numbered_once_where_ranges_come_from_a_sample(spark):
         assert got.where("new_id <> seq / 3 + 7 or new_id is null").count() == 0 and got.select("new_id").distinct().count() == 20_000
     finally:
         spark.conf.set("spark.sql.execution.rangeExchange.sampleSizePerPartition", old)
+
+
+def test_live_cells_are_attached_in_bounded_steps(spark, tables, monkeypatch):
+    v, centres = tables[0], np.array(np.rint(X[:9] * 30), np.int8)
+    want = {m: rows(split.attach(v, centres, m)) for m in (2, 6)}
+    monkeypatch.setattr(split, "TILE", 20)
+    assert {m: rows(split.attach(v, centres, m)) for m in (2, 6)} == want
+
+
+def test_budgets_of_all_entries_need_no_codes(spark, tables, tmp_path, monkeypatch):
+    v, q, *_ = tables
+    c = Collection.create(spark, str(tmp_path / "c"), 16, 64)
+    c.insert_frame(v.select(F.col("id").alias("seq"), "v"))
+    c.pack()
+    monkeypatch.setattr(residual, "candidates", None)
+    for nprobe in (1_000_000, c.cell_stats()["filled_cells"]):
+        assert [r[:3] for r in rows(c.search(q, 10, params=SearchParams(nprobe, 1_000_000, exact_limit=0)))] == brute(10)
+    some = c.search(q, 10, params=SearchParams(3, 1_000_000, exact_limit=0))
+    assert some.groupBy("qid").count().where("count = 10").count() == 20

@@ -1,11 +1,14 @@
 """What queries of many rows rest on: scores in tiles, cells scanned without rows for pairs, numbers drawn once."""
 
+import json
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from vexel.operators import ivf, live, residual, split, topk, transform
 from vexel.plans.collection import Collection, SearchParams
+from vexel.registry.collection_queries import bodies
 
 RNG = np.random.default_rng(5)
 X = np.round(RNG.normal(size=(400, 16)), 3)
@@ -145,3 +148,10 @@ def test_budgets_of_all_entries_need_no_codes(spark, tables, tmp_path, monkeypat
         assert [r[:3] for r in rows(c.search(q, 10, params=SearchParams(nprobe, 1_000_000, exact_limit=0)))] == brute(10)
     some = c.search(q, 10, params=SearchParams(3, 1_000_000, exact_limit=0))
     assert some.groupBy("qid").count().where("count = 10").count() == 20
+
+
+def test_requests_stay_under_the_bound_of_a_body():
+    rows = [(i, [0.123456789 + i] * 64) for i in range(100)]
+    parts = list(bodies(iter(rows), 5000))
+    assert len(parts) > 1 and [x for ids, v in parts for x in zip(ids, v)] == rows
+    assert max(len(json.dumps({"vectors": v, "top_k": 10})) for _, v in parts) <= 5000 + 1024

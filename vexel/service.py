@@ -60,7 +60,10 @@ class Service:
         q = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(vectors)], "qid long, q array<double>")
         allowed = spark.createDataFrame([(int(i),) for i in b["allowed_ids"]], "id long") if b.get("allowed_ids") is not None else None
         rows = self.c.search(q, int(b.get("top_k", 10)), where_from_json(b.get("where")), allowed, self.params).orderBy("qid", "rank").collect()
-        return {"results": [[{"id": r.id, "score": r.score} for r in rows if r.qid == i] for i in range(len(vectors))]}
+        found: list[list[dict[str, Any]]] = [[] for _ in vectors]
+        for r in rows:
+            found[r.qid].append({"id": r.id, "score": r.score})
+        return {"results": found}
 
     def post_insert(self, b):
         return {"id": self.c.insert(b["vector"], b.get("metadata"), b.get("key"))}

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vexel.operators import ivf, live, residual, split, topk, transform
+from vexel.plans import calibrate as C
 from vexel.plans.collection import Collection, SearchParams
 from vexel.registry.collection_queries import bodies
 
@@ -155,3 +156,14 @@ def test_requests_stay_under_the_bound_of_a_body():
     parts = list(bodies(iter(rows), 5000))
     assert len(parts) > 1 and [x for ids, v in parts for x in zip(ids, v)] == rows
     assert max(len(json.dumps({"vectors": v, "top_k": 10})) for _, v in parts) <= 5000 + 1024
+
+
+def test_probes_grow_with_the_cells_until_the_recall_is_reached(spark, tmp_path):
+    x = RNG.normal(size=(2000, 16))
+    c = Collection.create(spark, str(tmp_path / "c"), 16, 64)
+    c.insert_frame(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "seq long, v array<double>"))
+    c.pack()
+    q = spark.createDataFrame([(i, x[i].tolist()) for i in range(0, 2000, 40)], "qid long, q array<double>")
+    few = c.recall(q, 10, SearchParams(2, 50, exact_limit=0)).agg(F.avg("recall")).first()[0]
+    probes, recall = C.reach(c, q, 10, 0.9, 2, 50)
+    assert few < 0.9 <= recall and 2 < probes <= c.cell_stats()["filled_cells"]
